@@ -224,7 +224,7 @@ def frequencies(df: DataFrame, factors: Sequence[str]) -> DataFrame:
     )
     totals = counts.groupBy("factor").agg(F.sum("n").alias("_n"))
     return (
-        counts.join(totals, "factor")
+        counts.join(F.broadcast(totals), "factor")  # one row per named factor
         .withColumn("pct", 100.0 * F.col("n") / F.col("_n"))
         .drop("_n")
         .orderBy("factor", F.col("n").desc(), "level")
