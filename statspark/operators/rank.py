@@ -70,7 +70,8 @@ def _bucketed(
     return (
         layout.transform(base)
         .select(*by, *tallies, F.inline(cells))
-        .where(F.col("value").isNotNull())
+        # stated for both, so that every reader of this stage has the same plan and Spark reuses it
+        .where(F.col("value").isNotNull() & F.col("bucket").isNotNull())
     )
 
 
@@ -82,6 +83,7 @@ def _offsets(totals: DataFrame, by: Sequence[str], names: Sequence[str]) -> Data
         *by,
         "feature",
         "bucket",
+        *[F.col(t).alias(f"_in_{t}") for t in names],
         *[F.coalesce(F.sum(t).over(below), F.lit(0)).alias(f"_off_{t}") for t in names],
         *[F.sum(t).over(whole).alias(f"total_{t}") for t in names],
     )
@@ -136,19 +138,103 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: ``by…, feature, prob, quantile``.
 
-    Only range totals are shuffled for the whole column; values are shuffled
-    for the few ranges that hold a wanted position. The built-in ``percentile``
-    gives the same numbers but keeps every distinct value in one task.
+    The built-in ``percentile`` gives the same numbers but keeps every distinct
+    value of a group in one task; here only values near a wanted position are
+    shuffled.
     """
+    if by:
+        return _quantiles_by_range(df, cols, probs, by, buckets)
+    return _quantiles_by_bracket(df, cols, probs, buckets)
+
+
+ACCURACY = 20_000
+
+
+def _quantiles_by_bracket(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int | None, accuracy: int = ACCURACY
+) -> DataFrame:
+    """Approximate brackets first, then the exact order statistics inside them: two scans.
+
+    Values below a bracket collapse to one count per task, values above it are
+    dropped, and what is inside is about 1/``accuracy`` of the rows. A position
+    outside its bracket (never seen, but the sketch's bound is not proven after
+    merging) sends the whole request to the range method.
+    """
+    spark = df.sparkSession
+    slack = 4.0 / accuracy
+    ends = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-slack, slack)})
+    first = df.agg(
+        *[F.percentile_approx(_clean(c), ends, accuracy).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.count(_clean(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+    ).first()
+    targets = {}
+    for i, c in enumerate(cols):
+        for j, p in enumerate(probs):
+            n = first[f"n{i}"]
+            if not n:
+                continue
+            # a bracket end at 0 or 1 is open: the sketch need not hold the extremes
+            low = first[f"s{i}"][ends.index(max(0.0, p - slack))] if p - slack > 0 else -_INF
+            high = first[f"s{i}"][ends.index(min(1.0, p + slack))] if p + slack < 1 else _INF
+            at = p * (n - 1)
+            targets[i, j] = (low, high, at, int(at // 1), int(-(-at // 1)))
+    schema = "feature string, prob double, quantile double"
+    if not targets:
+        return spark.createDataFrame([], schema)
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(j).alias("j"),
+                F.when(F.col(f"_v{i}") < low, 0).when(F.col(f"_v{i}") <= high, 1).alias("zone"),
+                F.when(F.col(f"_v{i}") >= low, F.col(f"_v{i}")).alias("value"),
+            )
+            for (i, j), (low, high, *_rest) in targets.items()
+        ]
+    )
+    used = sorted({i for i, _ in targets})
+    counts = (
+        df.select(*[_clean(cols[i]).alias(f"_v{i}") for i in used])
+        .select(F.inline(cells))
+        .where(F.col("zone").isNotNull())
+        .groupBy("i", "j", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    w = Window.partitionBy("i", "j").orderBy(F.col("value").asc_nulls_first())
+    start = F.col("upto") - F.col("n")
+    placed = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    where = None
+    for (i, j), (_low, _high, _at, lo, hi) in targets.items():
+        here = (F.col("i") == i) & (F.col("j") == j) & (start <= hi) & (F.col("upto") > lo)
+        where = here if where is None else where | here
+    seen: dict[tuple[int, int, int], float] = {}
+    for r in placed.where(F.col("value").isNotNull() & where).collect():
+        _low, _high, _at, lo, hi = targets[r["i"], r["j"]]
+        for pos in {lo, hi}:
+            if r["upto"] - r["n"] <= pos < r["upto"]:
+                seen[r["i"], r["j"], pos] = r["value"]
+    rows = []
+    for (i, j), (_low, _high, at, lo, hi) in targets.items():
+        if (i, j, lo) not in seen or (i, j, hi) not in seen:
+            return _quantiles_by_range(df, cols, probs, (), buckets)
+        a, b = seen[i, j, lo], seen[i, j, hi]
+        rows.append((cols[i], float(probs[j]), a + (b - a) * (at - lo)))
+    return spark.createDataFrame(rows, schema)
+
+
+def _quantiles_by_range(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], buckets: int | None
+) -> DataFrame:
+    """Range totals locate the wanted positions; values are shuffled for their ranges only."""
     keys = [*by, "feature", "bucket"]
     long = _bucketed(df, cols, by, None, buckets)
     totals = long.groupBy(*keys).agg(F.sum("n").alias("n"))
-    offsets = _offsets(totals, by, ["n"]).join(totals, keys)
     at = F.col("prob") * (F.col("total_n") - 1)
     low, high = F.floor(at), F.ceil(at)
-    start, stop = F.col("_off_n"), F.col("_off_n") + F.col("n")
+    start, stop = F.col("_off_n"), F.col("_off_n") + F.col("_in_n")
     wanted = (
-        offsets.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        _offsets(totals, by, ["n"])
+        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumns({"at": at, "lo": low, "hi": high})
         .where(((low >= start) & (low < stop)) | ((high >= start) & (high < stop)))
         .select(*keys, "prob", "at", "lo", "hi", "_off_n")
@@ -190,13 +276,35 @@ def wide_quantiles(
     )
 
 
-def with_midranks(df: DataFrame, cols: Mapping[str, str], buckets: int | None = None) -> DataFrame:
-    """Add the mid-rank of each column ``source -> new name``; missing stays missing.
+def lookup_skewed(df: DataFrame, key: Column, table: DataFrame, name: str, frequent: Column) -> DataFrame:
+    """Left lookup of ``table(_key, name, …)`` that no hot key can unbalance.
 
-    A value frequent enough to fill a task on its own is looked up by broadcast:
-    at most ``bucket_count`` values can each hold more than a 1/bucket_count
-    share, so that side is bounded. The others meet their rank in a shuffle join.
+    ``frequent`` marks table rows whose key holds more than a fixed share of the
+    data; a share above 1/k can hold for at most k keys, so that side is
+    broadcast. The other keys meet their row in a shuffle join.
     """
+    hot = F.broadcast(table.where(frequent).select("_key", F.col(name).alias("_hot")))
+    cold = table.where(~frequent).select(
+        F.col("_key").alias("_cold"), name, F.lit(0).cast("long").alias("_salt")
+    )
+    served = df.withColumn("_key", key).join(hot, "_key", "left")
+    waits = F.col("_hot").isNull() & F.col("_key").isNotNull()
+    return (
+        # rows already served carry no key; their row hash spreads them over the tasks
+        served.withColumns(
+            {
+                "_cold": F.when(waits, F.col("_key")),
+                "_salt": F.when(waits, F.lit(0).cast("long")).otherwise(F.xxhash64(*df.columns)),
+            }
+        )
+        .join(cold, ["_cold", "_salt"], "left")
+        .withColumn(name, F.coalesce("_hot", name))
+        .drop("_key", "_cold", "_hot", "_salt")
+    )
+
+
+def with_midranks(df: DataFrame, cols: Mapping[str, str], buckets: int | None = None) -> DataFrame:
+    """Add the mid-rank of each column ``source -> new name``; missing stays missing."""
     limit = buckets or bucket_count(df.sparkSession)
     ranks = ranked_values(df, list(cols), buckets=buckets)
     out = df
@@ -204,27 +312,7 @@ def with_midranks(df: DataFrame, cols: Mapping[str, str], buckets: int | None =
         mine = ranks.where(F.col("feature") == source).select(
             F.col("value").alias("_key"), F.col("midrank").alias(name), "n", "total_n"
         )
-        frequent = F.col("n") * limit > F.col("total_n")
-        hot = F.broadcast(mine.where(frequent).select("_key", F.col(name).alias("_hot")))
-        cold = mine.where(~frequent).select("_key", name)
-        out = out.withColumn("_key", _clean(source)).join(hot, "_key", "left")
-        # rows already served carry no key; their row hash spreads them over the tasks
-        out = (
-            out.withColumns(
-                {
-                    "_cold": F.when(F.col("_hot").isNull(), F.col("_key")),
-                    "_salt": F.when(F.col("_hot").isNull() & F.col("_key").isNotNull(), F.lit(0).cast("long"))
-                    .otherwise(F.xxhash64(*df.columns)),
-                }
-            )
-            .join(
-                cold.select(F.col("_key").alias("_cold"), name, F.lit(0).cast("long").alias("_salt")),
-                ["_cold", "_salt"],
-                "left",
-            )
-            .withColumn(name, F.coalesce("_hot", name))
-            .drop("_key", "_cold", "_hot", "_salt")
-        )
+        out = lookup_skewed(out, _clean(source), mine, name, F.col("n") * limit > F.col("total_n"))
     return out
 
 
