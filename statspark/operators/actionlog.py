@@ -332,73 +332,94 @@ def audit_payoffs(settled: DataFrame, results: DataFrame) -> DataFrame:
 # --- showdown ---------------------------------------------------------------
 
 
-def hand_strength(cards: Column) -> Column:
-    """Comparable strength of the best five of the given cards: category, then tie-breakers.
+# Rank order and suits of the cards.
+RANKS, SUITS = "23456789TJQKA", ("c", "d", "h", "s")
+
+
+def with_hand_strength(df: DataFrame, cards: str | Column, name: str) -> DataFrame:
+    """Add the comparable strength of the best five of a list of cards: category, then tie-breakers.
 
     Categories: 8 straight flush, 7 four, 6 full house, 5 flush, 4 straight,
     3 three, 2 two pairs, 1 pair, 0 high card. Cards are rank + suit, e.g. ``Th``.
+    Built in steps so that each part is worked out once per row.
     """
-    # Rank order and suits.
-    order, suits = "23456789TJQKA", ("c", "d", "h", "s")
 
     def rank(c: Column) -> Column:
-        return F.position(F.substring(c, 1, 1), F.lit(order)) + 1
-
-    def best_run(ranks: Column) -> Column:
-        """Highest card of five in a row, the ace also counting as one; missing without a run."""
-        low = F.when(F.array_contains(ranks, 14), F.concat(ranks, F.array(F.lit(1)))).otherwise(ranks)
-        runs = F.filter(
-            F.sequence(F.lit(5), F.lit(14)),
-            lambda h: F.forall(F.sequence(h - 4, h), lambda x: F.array_contains(low, x)),
-        )
-        return F.array_max(runs)
+        return F.position(F.substring(c, 1, 1), F.lit(RANKS)) + 1
 
     def descending(ranks: Column) -> Column:
         return F.reverse(F.array_sort(ranks))
 
-    ranks = F.transform(cards, rank)
-    groups = descending(
-        F.filter(
-            F.transform(
-                F.sequence(F.lit(2), F.lit(14)),
-                lambda r: F.struct(F.size(F.filter(ranks, lambda x: x == r)).alias("n"), r.alias("r")),
-            ),
-            lambda g: g["n"] > 0,
-        )
+    def with_low_ace(ranks: str) -> Column:
+        return F.when(F.array_contains(ranks, 14), F.concat(ranks, F.array(F.lit(1)))).otherwise(F.col(ranks))
+
+    def best_run(ranks: str) -> Column:
+        """Highest card of five in a row; missing without a run."""
+        inside = [F.array_contains(ranks, x) for x in range(15)]
+        out = None
+        for high in range(14, 4, -1):
+            run = inside[high]
+            for x in range(high - 4, high):
+                run = run & inside[x]
+            out = F.when(run, high) if out is None else out.when(run, high)
+        return out
+
+    groups = F.filter(
+        F.transform(
+            F.array_distinct("_ranks"),
+            lambda r: F.struct((F.size("_ranks") - F.size(F.array_remove("_ranks", r))).alias("n"), r.alias("r")),
+        ),
+        lambda g: g["n"] > 0,
     )
-    by_suit = F.transform(
-        F.array(*[F.lit(s) for s in suits]),
-        lambda s: F.transform(F.filter(cards, lambda c: F.substring(c, 2, 1) == s), rank),
+
+    def ranks_of(suit: str) -> Column:
+        return F.transform(F.filter("_cards", lambda c: F.substring(c, 2, 1) == suit), rank)
+
+    by_suit = F.array(*[ranks_of(s) for s in SUITS])
+    staged = (
+        df.withColumn("_cards", F.col(cards) if isinstance(cards, str) else cards)
+        .withColumn("_ranks", F.transform("_cards", rank))
+        .withColumns({"_groups": descending(groups), "_suits": by_suit})
+        .withColumns(
+            {
+                "_flush": F.get(F.filter("_suits", lambda a: F.size(a) >= 5), F.lit(0)),
+                "_order": F.transform("_groups", lambda g: g["r"]),
+                "_counts": F.transform("_groups", lambda g: g["n"]),
+                "_low": with_low_ace("_ranks"),
+            }
+        )
+        .withColumn("_flush_low", with_low_ace("_flush"))
+        .withColumns({"_run": best_run("_low"), "_flush_run": best_run("_flush_low")})
     )
-    flush = F.get(F.filter(by_suit, lambda a: F.size(a) >= 5), F.lit(0))
-    run, flush_run = best_run(ranks), best_run(flush)
-    n1, r1 = F.get(groups, F.lit(0))["n"], F.get(groups, F.lit(0))["r"]
-    n2, r2 = F.get(groups, F.lit(1))["n"], F.get(groups, F.lit(1))["r"]
-    in_order = F.transform(groups, lambda g: g["r"])
+    n1, n2 = F.get("_counts", F.lit(0)), F.get("_counts", F.lit(1))
+    r1, r2 = F.get("_order", F.lit(0)), F.get("_order", F.lit(1))
 
     def highest_without(*used: Column) -> Column:
-        return F.array_max(F.array_except(ranks, F.array(*used)))
+        return F.array_max(F.array_except("_ranks", F.array(*used)))
 
-    def category(n: int, *rest: Column) -> Column:
-        return F.concat(F.array(F.lit(n)), *rest)
+    def category(n: int, rest: Column) -> Column:
+        return F.concat(F.array(F.lit(n)), rest)
 
-    return (
-        F.when(flush_run.isNotNull(), category(8, F.array(flush_run)))
+    strength = (
+        F.when(F.col("_flush_run").isNotNull(), category(8, F.array("_flush_run")))
         .when(n1 == 4, category(7, F.array(r1, highest_without(r1))))
         .when((n1 == 3) & (n2 >= 2), category(6, F.array(r1, r2)))
-        .when(flush.isNotNull(), category(5, F.slice(descending(flush), 1, 5)))
-        .when(run.isNotNull(), category(4, F.array(run)))
-        .when(n1 == 3, category(3, F.slice(in_order, 1, 3)))
+        .when(F.col("_flush").isNotNull(), category(5, F.slice(descending(F.col("_flush")), 1, 5)))
+        .when(F.col("_run").isNotNull(), category(4, F.array("_run")))
+        .when(n1 == 3, category(3, F.slice("_order", 1, 3)))
         .when((n1 == 2) & (n2 == 2), category(2, F.array(r1, r2, highest_without(r1, r2))))
-        .when(n1 == 2, category(1, F.slice(in_order, 1, 4)))
-        .otherwise(category(0, F.slice(in_order, 1, 5)))
+        .when(n1 == 2, category(1, F.slice("_order", 1, 4)))
+        .otherwise(category(0, F.slice("_order", 1, 5)))
+    )
+    return staged.withColumn(name, strength).drop(
+        "_cards", "_ranks", "_groups", "_suits", "_flush", "_order", "_counts", "_low", "_flush_low", "_run", "_flush_run"
     )
 
 
 def showdown(df: DataFrame, hand0: str = "hand0", hand1: str = "hand1", board: str = "board") -> DataFrame:
     """Strengths of both hands with the shared board, and the winner (0, 1, or 2 for a split)."""
-    a, b = hand_strength(F.concat(hand0, board)), hand_strength(F.concat(hand1, board))
-    scored = df.withColumns({"strength0": a, "strength1": b})
+    scored = with_hand_strength(df, F.concat(hand0, board), "strength0")
+    scored = with_hand_strength(scored, F.concat(hand1, board), "strength1")
     winner = F.when(F.col("strength0") > F.col("strength1"), 0).when(F.col("strength0") < F.col("strength1"), 1)
     return scored.withColumn("winner", winner.otherwise(2))
 
