@@ -224,15 +224,16 @@ def compare_classifiers(
     ``train`` and ``test`` carry a 0/1 ``label`` column.
     """
     out = {}
-    with kept(train.select("label", *numeric, *categorical)) as base:
+    cols = ["label", *numeric, *categorical]
+    with kept(train.select(*cols)) as base, kept(test.select(*cols)) as held:
         pre = X.fit_preprocessor(base, numeric, categorical)
         with kept(pre.transform(base).select("label", "features")) as ready:
             for name, est in (models or default_classifiers(ready.count(), seed)).items():
                 fitted = est.copy()
                 fitted.setFeaturesCol("features").setLabelCol("label")
                 model = PipelineModel([*pre.stages, fitted.fit(ready)])
-                result = roc_auc(scored(model, test).select("score", "label"), "score", "label").first()
-                out[name] = Fitted(name, model, result["auc"])
+                with kept(scored(model, held).select("score", "label")) as judged:
+                    out[name] = Fitted(name, model, roc_auc(judged, "score", "label").first()["auc"])
     return out
 
 

@@ -33,7 +33,8 @@ def split_points(df: DataFrame, cols: Sequence[str], buckets: int) -> dict[str,
     row = df.agg(
         *[F.percentile_approx(_clean(c), probs, 10 * buckets).alias(f"s{i}") for i, c in enumerate(cols)]
     ).first()
-    return {c: sorted({s for s in (row[i] or []) if abs(s) < _INF}) for i, c in enumerate(cols)}
+    # a column without values still needs one split point
+    return {c: sorted({s for s in (row[i] or []) if abs(s) < _INF}) or [0.0] for i, c in enumerate(cols)}
 
 
 def _bucketed(
