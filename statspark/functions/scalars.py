@@ -76,6 +76,16 @@ def normal_pdf(x: Column, mean: Column, sd: Column) -> Column:
     return F.exp(-z * z / 2) / (F.nullif(sd, F.lit(0.0)) * math.sqrt(2 * math.pi))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson r over rows where both are present; null for a constant column.
+
+    The built-in ``corr`` divides by zero there when ANSI mode is on.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
+
+
 def slug(name: Column) -> Column:
     """Lower-case with blanks as underscores, as used in output names."""
     return F.lower(F.translate(name, " ", "_"))

@@ -25,7 +25,7 @@ def factor_counts(
         F.col(outcome).cast("string").alias("outcome"), w.cast("long").alias("n"), *factors
     )
     long = factor_long(src, factors, ["outcome", "n"]).where(F.col("level").isNotNull())
-    return long.groupBy("factor", "level", "outcome").agg(F.sum("n").alias("n"))
+    return long.groupBy("factor", "level", "outcome").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
 
 
 def chi_square(counts: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str], cover: bool = False) -> Da
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        aggs.append(F.corr(x, y).alias(f"r{i}"))
+        aggs.append(S.correlation(x, y).alias(f"r{i}"))
         aggs.append(F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}"))
     if cover:
         aggs += [F.count(c).alias(f"d{i}") for i, c in enumerate(cols)]
@@ -210,12 +210,9 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str], cover: bool = False) -> Da
     def cell(a, b, r_, n_):
         return F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), r_.alias("r"), n_.alias("n"))
 
-    def r_of(i):
-        return F.when(~F.isnan(f"r{i}"), F.col(f"r{i}"))
-
-    cells = [cell(a, b, r_of(i), F.col(f"n{i}")) for i, (a, b) in enumerate(pairs)]
+    cells = [cell(a, b, F.col(f"r{i}"), F.col(f"n{i}")) for i, (a, b) in enumerate(pairs)]
     if cover:
-        cells += [cell(b, a, r_of(i), F.col(f"n{i}")) for i, (a, b) in enumerate(pairs)]
+        cells += [cell(b, a, F.col(f"r{i}"), F.col(f"n{i}")) for i, (a, b) in enumerate(pairs)]
         cells += [cell(c, c, F.lit(1.0), F.col(f"d{i}")) for i, c in enumerate(cols)]
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
@@ -243,7 +240,10 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str], cover: bool = False) -> D
             one = on_ranks(both, [a, b], False)
             parts.append(one)
             if cover:
-                parts.append(one.withColumnsRenamed({"feature_1": "feature_2", "feature_2": "feature_1"}))
+                mirrored = one.select(
+                    F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), "r", "n"
+                )
+                parts.append(mirrored)
     if cover:
         for c in cols:
             if gaps[c]:
@@ -277,7 +277,5 @@ def significant_pairs(df: DataFrame, cols: Sequence[str], alpha: float = 0.05) -
 def outcome_correlations(df: DataFrame, cols: Sequence[str], outcome: str, positive) -> DataFrame:
     """Point-biserial r of each numeric column with the 0/1 outcome, by absolute r."""
     y = S.outcome01(outcome, positive).cast("double")
-    rows = per_column(
-        df, cols, {"r": lambda c: F.corr(y, c.cast("double")), "n": F.count}
-    ).withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    rows = per_column(df, cols, {"r": lambda c: S.correlation(y, c.cast("double")), "n": F.count})
     return with_correlation_test(rows).orderBy(F.abs("r").desc_nulls_last(), "feature")

@@ -93,7 +93,7 @@ def qq_line(points: DataFrame) -> DataFrame:
     return points.agg(
         F.regr_slope("sample", "theoretical").alias("slope"),
         F.regr_intercept("sample", "theoretical").alias("intercept"),
-        F.corr("sample", "theoretical").alias("r"),
+        S.correlation(F.col("sample"), F.col("theoretical")).alias("r"),
     )
 
 

@@ -103,7 +103,7 @@ def one_hot_stages(cols: Sequence[str]) -> list:
         # the slot kept for unknown levels is the one that is dropped
         OneHotEncoder(
             inputCols=[f"{c}__ix" for c in cols], outputCols=[f"{c}__oh" for c in cols],
-            dropLast=True, handleInvalid="keep",
+            dropLast=True,
         ),
     ]
 
@@ -284,12 +284,12 @@ def f_regression(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
         df,
         cols,
         {
-            "r": lambda c: F.corr(c.cast("double"), y),
+            "r": lambda c: S.correlation(c.cast("double"), y),
             "n": lambda c: F.count(F.when(c.isNotNull() & y.isNotNull(), 1)),
         },
     )
     rest = F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0))
-    f = F.when(~F.isnan("r"), F.col("r") * F.col("r") * (F.col("n") - 2) / rest)
+    f = F.col("r") * F.col("r") * (F.col("n") - 2) / rest
     return (
         rows.select("feature", f.alias("f_score"), (F.col("n") - 2).cast("double").alias("dof"))
         .withColumn("p_value", dist.f_sf("f_score", F.lit(1.0), "dof"))

@@ -184,6 +184,7 @@ def test_strength_is_that_of_the_best_five(spark):
     deck = [r + s for r in "23456789TJQKA" for s in "cdhs"]
     narrow = [r + s for r in "TJQKA" for s in "cd"] + ["2c", "3c", "4c", "5c"]
     hands = [rnd.sample(deck, 7) for _ in range(250)] + [rnd.sample(narrow, 7) for _ in range(250)]
+    hands += [["2c", "2d", "2h", "2s", "9c", "9d", "9h"], ["Ac", "Ad", "Ah", "As", "2c", "3d", "4h"]]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(hands)], "i int, h array<string>")
     got = {r["i"]: r["s"] for r in L.with_hand_strength(df, "h", "s").collect()}
     for i, h in enumerate(hands):
