@@ -77,8 +77,8 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
 def with_rounds(events: DataFrame, chunk: int = 100_000) -> DataFrame:
     """Carry the round number and street from their header lines to the lines below."""
-    out = carry_forward(chunked(events, "line_no", chunk), ["file"], ["line_no"], "round_head", "round")
-    out = carry_forward(chunked(out, "line_no", chunk), ["file"], ["line_no"], "street_head", "street")
+    heads = {"round_head": "round", "street_head": "street"}
+    out = carry_forward(chunked(events, "line_no", chunk), ["file"], ["line_no"], heads)
     closing = F.col("kind") == "final"
     return out.withColumns(
         {

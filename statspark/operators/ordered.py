@@ -7,7 +7,7 @@ holding a third of all rows is therefore spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -98,23 +98,22 @@ def running_sum(
     )
 
 
-def carry_forward(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str
-) -> DataFrame:
-    """Last non-missing ``value`` at or before each row of its group."""
+def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """Last non-missing value at or before each row of its group, for several ``column -> new name`` at once."""
     rows = df if SEGMENT in df.columns else with_segments(df, order)
     at = F.struct(*order)
     carry = _chain(
         rows,
         by,
-        {"_t": F.max_by(value, F.when(F.col(value).isNotNull(), at))},
-        {"_before": F.last("_t", ignorenulls=True)},
+        {f"_t_{c}": F.max_by(c, F.when(F.col(c).isNotNull(), at)) for c in names},
+        {f"_before_{c}": F.last(f"_t_{c}", ignorenulls=True) for c in names},
     )
     w = Window.partitionBy(*by, SEGMENT).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({n: F.last(c, ignorenulls=True).over(w) for c, n in names.items()})
     return (
-        _with_carry(rows.withColumn(name, F.last(value, ignorenulls=True).over(w)), carry, by)
-        .withColumn(name, F.coalesce(F.col(name), F.col("_before")))
-        .drop("_before", SEGMENT)
+        _with_carry(seen, carry, by)
+        .withColumns({n: F.coalesce(F.col(n), F.col(f"_before_{c}")) for c, n in names.items()})
+        .drop(*[f"_before_{c}" for c in names], SEGMENT)
     )
 
 

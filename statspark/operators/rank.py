@@ -43,10 +43,11 @@ def _bucketed(
     by: Sequence[str] = (),
     tallies: Mapping[str, Column] | None = None,
     buckets: int | None = None,
+    splits: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
     """Long form ``(by…, feature, bucket, value, n, tallies…)`` without missing values."""
     tallies = {"n": F.lit(1), **(tallies or {})}
-    splits = split_points(df, cols, buckets or bucket_count(df.sparkSession))
+    splits = splits or split_points(df, cols, buckets or bucket_count(df.sparkSession))
     base = df.select(
         *by,
         *[t.cast("long").alias(name) for name, t in tallies.items()],
@@ -107,6 +108,7 @@ def ranked_values(
     by: Sequence[str] = (),
     tallies: Mapping[str, Column] | None = None,
     buckets: int | None = None,
+    splits: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
     """One row per distinct value: counts, counts below it, totals and mid-rank.
 
@@ -115,7 +117,7 @@ def ranked_values(
     below_n, total_n, midrank`` and the same three columns per tally.
     """
     names = ["n", *(tallies or {})]
-    long = _bucketed(df, cols, by, tallies, buckets)
+    long = _bucketed(df, cols, by, tallies, buckets, splits)
     keys = [*by, "feature", "bucket"]
     counts = long.groupBy(*keys, "value").agg(*[F.sum(t).alias(t) for t in names])
     totals = counts.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in names])
@@ -307,10 +309,10 @@ def lookup_skewed(df: DataFrame, key: Column, table: DataFrame, name: str, frequ
 def with_midranks(df: DataFrame, cols: Mapping[str, str], buckets: int | None = None) -> DataFrame:
     """Add the mid-rank of each column ``source -> new name``; missing stays missing."""
     limit = buckets or bucket_count(df.sparkSession)
-    ranks = ranked_values(df, list(cols), buckets=buckets)
+    splits = split_points(df, list(cols), limit)
     out = df
     for source, name in cols.items():
-        mine = ranks.where(F.col("feature") == source).select(
+        mine = ranked_values(df, [source], splits=splits).select(
             F.col("value").alias("_key"), F.col("midrank").alias(name), "n", "total_n"
         )
         out = lookup_skewed(out, _clean(source), mine, name, F.col("n") * limit > F.col("total_n"))

@@ -98,7 +98,7 @@ def test_ordered_columns(spark, moves, buckets):
     want = want.assign(total=g["v"].cumsum(), last=g["mark"].ffill(), was=g["v"].shift()).set_index("id").sort_index()
     total = O.running_sum(s, ["user"], ["ts", "id"], "v", "total").toPandas().set_index("id").sort_index()
     assert (total["total"] == want["total"]).all()
-    last = O.carry_forward(s, ["user"], ["ts", "id"], "mark", "last").toPandas().set_index("id").sort_index()
+    last = O.carry_forward(s, ["user"], ["ts", "id"], {"mark": "last"}).toPandas().set_index("id").sort_index()
     np.testing.assert_array_equal(last["last"].to_numpy(float), want["last"].to_numpy(float))
     was = O.previous(s, ["user"], ["ts", "id"], "v", "was").toPandas().set_index("id").sort_index()
     np.testing.assert_array_equal(was["was"].to_numpy(float), want["was"].to_numpy(float))
