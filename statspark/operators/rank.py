@@ -145,83 +145,135 @@ def exact_quantiles(
     value of a group in one task; here only values near a wanted position are
     shuffled.
     """
-    if by:
-        return _quantiles_by_range(df, cols, probs, by, buckets)
-    return _quantiles_by_bracket(df, cols, probs, buckets)
+    return _quantiles_by_bracket(df, cols, probs, by, buckets)
 
 
 ACCURACY = 20_000
+MAX_GROUPS, MAX_BRACKETS = 50, 600
+
+
+def _zone(x: Column, intervals: Sequence[tuple[float, float]]) -> Column:
+    """Odd inside an interval, even between them, missing above the last."""
+    out = None
+    for k, (low, high) in enumerate(intervals):
+        below, inside = x < low, x <= high
+        out = F.when(below, 2 * k) if out is None else out.when(below, 2 * k)
+        out = out.when(inside, 2 * k + 1)
+    return out
+
+
+def _merged(intervals: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(intervals):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
 
 
 def _quantiles_by_bracket(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int | None, accuracy: int = ACCURACY
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    buckets: int | None = None,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Approximate brackets first, then the exact order statistics inside them: two scans.
 
-    Values below a bracket collapse to one count per task, values above it are
-    dropped, and what is inside is about 1/``accuracy`` of the rows. A position
-    outside its bracket (never seen, but the sketch's bound is not proven after
-    merging) sends the whole request to the range method.
+    Values between brackets collapse to one count per task, values above the
+    last are dropped, and what is inside is about 1/``accuracy`` of the rows.
+    More groups or brackets than an expression should hold, or a position
+    outside its bracket (the sketch's bound is not proven after merging), send
+    the request to the range method.
     """
     spark = df.sparkSession
     slack = 4.0 / accuracy
+    src = df
+    for b in by:
+        src = src.where(F.col(b).isNotNull())
+    if by and len(src.select(*by).distinct().limit(MAX_GROUPS + 1).collect()) > MAX_GROUPS:
+        return _quantiles_by_range(df, cols, probs, by, buckets)
     ends = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-slack, slack)})
-    first = df.agg(
-        *[F.percentile_approx(_clean(c), ends, accuracy).alias(f"s{i}") for i, c in enumerate(cols)],
-        *[F.count(_clean(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-    ).first()
-    targets = {}
-    for i, c in enumerate(cols):
-        for j, p in enumerate(probs):
-            n = first[f"n{i}"]
+    aggs = [F.percentile_approx(_clean(c), ends, accuracy).alias(f"_s{i}") for i, c in enumerate(cols)]
+    aggs += [F.count(_clean(c)).alias(f"_n{i}") for i, c in enumerate(cols)]
+    sketches = (src.groupBy(*by).agg(*aggs) if by else src.agg(*aggs)).collect()
+    if len(sketches) * len(cols) * len(probs) > MAX_BRACKETS:
+        return _quantiles_by_range(df, cols, probs, by, buckets)
+
+    intervals, wanted = {}, {}
+    for g, row in enumerate(sketches):
+        for i in range(len(cols)):
+            n, marks = row[f"_n{i}"], row[f"_s{i}"]
             if not n:
                 continue
-            # a bracket end at 0 or 1 is open: the sketch need not hold the extremes
-            low = first[f"s{i}"][ends.index(max(0.0, p - slack))] if p - slack > 0 else -_INF
-            high = first[f"s{i}"][ends.index(min(1.0, p + slack))] if p + slack < 1 else _INF
-            at = p * (n - 1)
-            targets[i, j] = (low, high, at, int(at // 1), int(-(-at // 1)))
-    schema = "feature string, prob double, quantile double"
-    if not targets:
+            pairs = []
+            for j, p in enumerate(probs):
+                # a bracket end at 0 or 1 is open: the sketch need not hold the extremes
+                low = marks[ends.index(p - slack)] if p - slack > 0 else -_INF
+                high = marks[ends.index(p + slack)] if p + slack < 1 else _INF
+                pairs.append((low, high))
+                wanted[g, i, j] = p * (n - 1)
+            intervals[g, i] = _merged(pairs)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "feature string, prob double, quantile double"
+    if not wanted:
         return spark.createDataFrame([], schema)
+
+    group = F.lit(0)
+    if by:
+        group = None
+        for g, row in enumerate(sketches):
+            here = F.lit(True)
+            for b in by:
+                here = here & (F.col(b) == F.lit(row[b]))
+            group = F.when(here, g) if group is None else group.when(here, g)
+    placed = src.select(group.alias("g"), *[_clean(c).alias(f"_v{i}") for i, c in enumerate(cols)])
+    zones = {}
+    for i in range(len(cols)):
+        z = None
+        for g in range(len(sketches)):
+            if (g, i) in intervals:
+                one = _zone(F.col(f"_v{i}"), intervals[g, i])
+                here = F.col("g") == g
+                z = F.when(here, one) if z is None else z.when(here, one)
+        zones[f"_z{i}"] = z if z is not None else F.lit(None).cast("int")
     cells = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.when(F.col(f"_v{i}") < low, 0).when(F.col(f"_v{i}") <= high, 1).alias("zone"),
-                F.when(F.col(f"_v{i}") >= low, F.col(f"_v{i}")).alias("value"),
+                F.col(f"_z{i}").alias("zone"),
+                F.when(F.col(f"_z{i}") % 2 == 1, F.col(f"_v{i}")).alias("value"),
             )
-            for (i, j), (low, high, *_rest) in targets.items()
+            for i in range(len(cols))
         ]
     )
-    used = sorted({i for i, _ in targets})
     counts = (
-        df.select(*[_clean(cols[i]).alias(f"_v{i}") for i in used])
-        .select(F.inline(cells))
+        placed.withColumns(zones)
+        .select("g", F.inline(cells))
         .where(F.col("zone").isNotNull())
-        .groupBy("i", "j", "value")
+        .groupBy("g", "i", "zone", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    w = Window.partitionBy("i", "j").orderBy(F.col("value").asc_nulls_first())
-    start = F.col("upto") - F.col("n")
-    placed = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    where = None
-    for (i, j), (_low, _high, _at, lo, hi) in targets.items():
-        here = (F.col("i") == i) & (F.col("j") == j) & (start <= hi) & (F.col("upto") > lo)
-        where = here if where is None else where | here
-    seen: dict[tuple[int, int, int], float] = {}
-    for r in placed.where(F.col("value").isNotNull() & where).collect():
-        _low, _high, _at, lo, hi = targets[r["i"], r["j"]]
-        for pos in {lo, hi}:
-            if r["upto"] - r["n"] <= pos < r["upto"]:
-                seen[r["i"], r["j"], pos] = r["value"]
+    w = Window.partitionBy("g", "i").orderBy("zone", "value").rowsBetween(Window.unboundedPreceding, 0)
+    positions = sorted({(g, i, int(k)) for (g, i, _), at in wanted.items() for k in (at // 1, -(-at // 1))})
+    targets = spark.createDataFrame(positions, "g int, i int, pos long")
+    inside = (
+        counts.withColumn("upto", F.sum("n").over(w))
+        .where(F.col("value").isNotNull())
+        # at most two positions per group, column and quantile
+        .join(F.broadcast(targets), ["g", "i"])
+        .where((F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("n")))
+    )
+    seen = {(r["g"], r["i"], r["pos"]): r["value"] for r in inside.select("g", "i", "pos", "value").collect()}
     rows = []
-    for (i, j), (_low, _high, at, lo, hi) in targets.items():
-        if (i, j, lo) not in seen or (i, j, hi) not in seen:
-            return _quantiles_by_range(df, cols, probs, (), buckets)
-        a, b = seen[i, j, lo], seen[i, j, hi]
-        rows.append((cols[i], float(probs[j]), a + (b - a) * (at - lo)))
+    for (g, i, j), at in wanted.items():
+        lo, hi = (g, i, int(at // 1)), (g, i, int(-(-at // 1)))
+        if lo not in seen or hi not in seen:
+            return _quantiles_by_range(df, cols, probs, by, buckets)
+        value = seen[lo] + (seen[hi] - seen[lo]) * (at - lo[2])
+        rows.append((*[sketches[g][b] for b in by], cols[i], float(probs[j]), value))
     return spark.createDataFrame(rows, schema)
 
 

@@ -44,11 +44,18 @@ def test_quantiles(spark, data, buckets, by):
 def test_bracket_and_range_methods_agree(spark):
     df = spark.range(200_000).select((F.xxhash64("id") % 100_000).cast("double").alias("x"))
     probs = [0.01, 0.5, 0.999]
-    a = {r["prob"]: r["quantile"] for r in R._quantiles_by_bracket(df, ["x"], probs, 8, accuracy=200).collect()}
+    a = {r["prob"]: r["quantile"] for r in R._quantiles_by_bracket(df, ["x"], probs, accuracy=200).collect()}
     b = {r["prob"]: r["quantile"] for r in R._quantiles_by_range(df, ["x"], probs, (), 8).collect()}
     assert a == b
 
 
+def test_many_groups_use_ranges(spark):
+    df = spark.range(4000).select((F.col("id") % 80).alias("g"), (F.col("id") % 1000).cast("double").alias("x"))
+    got = {r["g"]: r["quantile"] for r in R.exact_quantiles(df, ["x"], [0.5], ["g"]).collect()}
+    want = df.toPandas().groupby("g")["x"].median()
+    assert got == want.to_dict()
+
+
 def test_quantiles_of_empty_and_constant(spark):
     df = spark.createDataFrame([(None, 3.0), (None, 3.0)], "a double, b double")
     got = {r["feature"]: r["quantile"] for r in R.exact_quantiles(df, ["a", "b"], [0.5]).collect()}
