@@ -14,8 +14,8 @@ from statspark.plans.queries_actionlog import RESULTS, RN, event_log
 from statspark.plans.queries_features import HASH
 from statspark.plans.queries_profile import LI_NUM
 from statspark.plans.queries_tests import (
-    ALL_PAIRS, CHI_OUT, LI_YN, MOMENTS, MWU, OC, OC_FACTORS, OC_NUM, PBS, PT_COLS, PT_PAIRS, RISK_OUT, TEST_OUT, TESTED, WELCH,
-    chi_sql, corr_sql, li, li_yn, oc, risk_sql,
+    CHI_OUT, MOMENTS, MWU, OC, OC_FACTORS, OC_NUM, PBS, PT_COLS, PT_PAIRS, RISK_OUT, TEST_OUT, TESTED,
+    chi_sql, corr_sql, li, oc, risk_sql,
 )
 from statspark.plans.registry import Registry, report, table
 from statspark.plans.sqlmath import chi2_p, norm_p2

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statspark.functions import scalars as S
 from statspark.operators import anova as V
 from statspark.operators import association as A
 from statspark.operators import hypothesis as H
