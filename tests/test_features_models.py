@@ -234,3 +234,27 @@ def test_records_and_materialise(spark):
     with pytest.raises(ValueError):
         IO.as_records(spark, "text")
     assert materialise(spark.range(5)).count() == 5
+
+
+def test_dense_network_learns(spark, df):
+    src = X.frequency_encode(M.labelled(df.na.drop(), "y", "pos"), "f", "f_code")
+    model = M.dense_network(src, ["x", "w", "f_code"], hidden=(6,), max_iter=60)
+    out = M.scored(model, src).select("score", "label")
+    assert out.where("score < 0 or score > 1").count() == 0
+    assert M.roc_auc(out, "score", "label").first()["auc"] > 0.75
+
+
+def test_multi_target_summary(spark, df):
+    src = df.na.drop().withColumn("t", F.col("x") * 2 + F.col("id") % 3)
+    models = {"Ridge": LinearRegression(regParam=1e-6)}
+    row = M.multi_target_summary(src, ["t"], ["x", "w"], ["f"], ["id"], models=models, routes=("Basic",)).first()
+    assert row["best_model"] == "Basic - Ridge" and row["r2"] > 0.7 and 0.6 < row["f1"] <= 1 and row["bic"] > row["aic"]
+
+
+def test_violin_groups_integrate_to_one(df):
+    v = C.violin(df, "w", "f", points=400).toPandas()
+    for _, g in v.groupby("f"):
+        g = g.sort_values("x")
+        # the curve is cut at the ends of the data, so a little mass lies outside
+        assert 0.8 < np.trapezoid(g.density, g.x) <= 1.01
+        assert (g.q1 <= g["median"]).all() and (g["median"] <= g.q3).all()
