@@ -192,9 +192,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # the lowest neighbours are written, so that the join deals both sides anew and can split a node of very many links
+        low = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = store(large, "large")
+        lows = store(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lows.withColumnRenamed("m", "v"))
         new = store(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         changed = new.join(pairs, ["u", "v"], "left_anti").limit(1).count() or pairs.join(new, ["u", "v"], "left_anti").limit(1).count()
