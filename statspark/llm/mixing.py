@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from statspark.llm.common import store, words_native
 
 #: Documents in one slice of a leaf's shuffled order, about; only the slice where the budget ends is sorted.
-SLICE = 10_000
+SLICE = 1_000
 
 
 def _weight(path: Sequence[str], weights: Mapping[tuple, float]) -> Column:
