@@ -57,8 +57,8 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    labels = table(spark, folder, "labels").where(F.col("toxic").isNotNull() & (fold("doc_id") != 0)).select("doc_id", "toxic")
-    model = toxicity.train_toxicity_model(docs.join(labels, "doc_id"))
+    labels = table(spark, folder, "labels").where(fold("doc_id") != 0)
+    model = toxicity.train_toxicity_model(docs, labels)
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 

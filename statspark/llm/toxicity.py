@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statspark.llm.common import fold, quota_sample, small_batches
+from statspark.llm.common import fold, quota_sample, small_batches, store
 
 #: Fixed list of plain insults to start from; stems come from the labels.
 LEXICON = frozenset(
@@ -170,44 +170,47 @@ def learn_stems(rows: DataFrame, text: str, label: str, top: int, min_rows: int,
 
 
 def train_toxicity_model(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, quota: int = 2000, trees: int = 20, depth: int = 3,
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, quota: int = 2000, trees: int = 20, depth: int = 3,
     top_stems: int = 400, min_rows: int = 3, min_log_odds: float = 2.5, seed: int = 5,
 ) -> ToxicityModel:
-    """Fit on ``labelled`` rows (key, text, 0/1 label); rows with a null label are left out.
+    """Fit on the texts of ``docs`` that ``labels`` (key, 0/1 label) marks; rows with a null label are left out.
 
     Folds 1 and 2 of the key's CRC-32 give stems, 3 the trees, 4 the calibration; fold 0 is never read here.
-    ``quota`` bounds the rows taken of each label in each part. Without rows of both labels every score is 0.
+    ``quota`` bounds the rows taken of each label in each part, so about 6 × ``quota`` labels travel to the texts, and
+    the texts themselves are read once and not shuffled. Without rows of both labels every score is 0.
     """
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(key), F.coalesce(text, F.lit("")).alias(text), F.col(label).cast("double").alias(label))
-    part = rows.withColumn("__fold", fold(key))
-    stems = learn_stems(quota_sample(part.where("__fold in (1, 2)"), label, key, quota, seed), text, label, top_stems, min_rows, min_log_odds)
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__label")).dropDuplicates(["__key"])
+    known = known.withColumn("__fold", fold("__key")).where("__fold > 0")
+    parts = [quota_sample(known.where(rule), "__label", "__key", quota, seed) for rule in ("__fold in (1, 2)", "__fold = 3", "__fold = 4")]
+    taken = store(parts[0].unionByName(parts[1]).unionByName(parts[2]), "labels")
+    found = docs.select(key, F.coalesce(text, F.lit("")).alias("__text")).join(F.broadcast(taken), F.col(key) == F.col("__key"))
+    rows = store(found.select("__key", "__text", "__label", "__fold"), "labelled")
+    stems = learn_stems(rows.where("__fold in (1, 2)"), "__text", "__label", top_stems, min_rows, min_log_odds)
     vector = VectorAssembler(inputCols=FEATURES, outputCol="__x")
-
-    def dense(df):
-        found = add_features(df, stems, text, "__f")
-        return vector.transform(found.select(key, label, *[F.col("__f")[i].alias(c) for i, c in enumerate(FEATURES)]))
-
-    own = dense(quota_sample(part.where("__fold = 3"), label, key, quota, seed)).repartition(4, key).persist()
-    rest = dense(quota_sample(part.where("__fold = 4"), label, key, quota, seed)).persist()
+    dense = add_features(rows.where("__fold in (3, 4)"), stems, "__text", "__f")
+    dense = store(dense.select("__key", "__fold", "__label", *[F.col("__f")[i].alias(c) for i, c in enumerate(FEATURES)]), "features")
+    own, rest = (vector.transform(dense.where(F.col("__fold") == k)) for k in (3, 4))
+    own = own.repartition(4, "__key").persist()
     try:
-        if {r[0] for r in own.select(label).distinct().collect()} != {0.0, 1.0}:
+        if {r[0] for r in own.select("__label").distinct().collect()} != {0.0, 1.0}:
             return ToxicityModel(stems)
         boosted = GBTClassifier(
-            labelCol=label, featuresCol="__x", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, minInstancesPerNode=3, checkpointInterval=-1
+            labelCol="__label", featuresCol="__x", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, minInstancesPerNode=3, checkpointInterval=-1
         ).fit(own)
         boosted = boosted.setPredictionCol("__tree").setRawPredictionCol("__raw").setProbabilityCol("__p")
-        if {r[0] for r in rest.select(label).distinct().collect()} != {0.0, 1.0}:
+        if {r[0] for r in rest.select("__label").distinct().collect()} != {0.0, 1.0}:
             rest = own
         # the sample has its own share of each label: rows weigh as many as they stand for, so scores are true rates
-        all_ = {r[0]: r[1] for r in part.where("__fold = 4").groupBy(label).count().collect()} or {0.0: 1, 1.0: 1}
-        got = {r[0]: r[1] for r in rest.groupBy(label).count().collect()}
-        weight = F.when(F.col(label) == 1.0, F.lit(all_.get(1.0, 1) / got[1.0])).otherwise(F.lit(all_.get(0.0, 1) / got[0.0]))
-        raw = boosted.transform(rest).select(F.col(label).alias("y"), vector_to_array("__p")[1].alias("__rate"), weight.alias("w"))
+        all_ = {r[0]: r[1] for r in known.where("__fold = 4").groupBy("__label").count().collect()}
+        got = {r[0]: r[1] for r in rest.groupBy("__label").count().collect()}
+        weight = F.when(F.col("__label") == 1.0, F.lit(all_.get(1.0, 1) / got[1.0])).otherwise(F.lit(all_.get(0.0, 1) / got[0.0]))
+        raw = boosted.transform(rest).select(F.col("__label").alias("y"), vector_to_array("__p")[1].alias("__rate"), weight.alias("w"))
+        # equal rates meet in a sum before the regression deals rows by rate
+        raw = raw.groupBy("__rate").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
         calibration = IsotonicRegression(labelCol="y", featuresCol="__rate", weightCol="w", predictionCol="__score").fit(raw)
         return ToxicityModel(stems, boosted, calibration)
     finally:
         own.unpersist()
-        rest.unpersist()
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
