@@ -118,7 +118,7 @@ def train_language_model(
     """Fit on about ``quota`` labelled rows of each language; every fifth sampled row calibrates instead.
 
     A prediction is rejected if its calibrated probability is below ``reject_below``: the level under which only
-    ``max_false_reject`` of the correct calibration rows fall, one half at most. Rows with a null label or text
+    ``max_false_reject`` of the correct calibration rows fall, 0.4 at most. Rows with a null label or text
     are no training rows; without any labelled row the model knows no language and rejects everything.
     """
     small_batches(docs.sparkSession)
@@ -162,7 +162,7 @@ def train_language_model(
     temperature = float(grid[int(np.argmin(losses))])
     p = probabilities(temperature)
     correct = p.max(axis=1)[p.argmax(axis=1) == y[rest]]
-    reject = min(0.5, float(np.quantile(correct, max_false_reject))) if len(correct) else 0.0
+    reject = min(0.4, float(np.quantile(correct, max_false_reject))) if len(correct) else 0.0
     if n <= dim:
         return LanguageModel(languages, (emb @ head).astype(np.float32), None, bias, temperature, reject, bits)
     return LanguageModel(languages, emb, head, bias, temperature, reject, bits)

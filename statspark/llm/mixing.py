@@ -46,7 +46,8 @@ def share_budget(nodes: DataFrame, parent: Sequence[str], order: Sequence[str])
     ready = ready.withColumn("__w", F.sum("weight").over(rest))
     ready = ready.withColumn("__level", F.when(F.col("__w") > 0, F.col("__left") / F.col("__w")).otherwise(F.lit(0.0)))
     ready = ready.withColumn("__open", F.first(F.when(F.col("__ratio") > F.col("__level"), F.col("__level")), ignorenulls=True).over(whole))
-    filled = F.when(F.col("weight") > 0, F.least("cap", F.coalesce(F.greatest(F.col("__open"), F.lit(0.0)) * F.col("weight"), F.col("cap")))).otherwise(0.0)
+    level = F.greatest(F.col("__open"), F.lit(0.0)) * F.col("weight")
+    filled = F.when(F.col("weight") <= 0, 0.0).when(F.col("__open").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level))
     return ready.withColumn("budget", filled).drop("__ratio", "__left", "__w", "__level", "__open")
 
 

@@ -169,7 +169,7 @@ l{k} AS (
 o{k} AS (
   SELECT *, first(CASE WHEN ratio > level THEN level END IGNORE NULLS) OVER ({family} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS open
   FROM l{k}),
-b{k} AS (SELECT {cols}, least(cap, coalesce(greatest(open, 0) * weight, cap)) AS budget FROM o{k})"""
+b{k} AS (SELECT {cols}, CASE WHEN open IS NULL THEN cap ELSE least(cap, greatest(open, 0) * weight) END AS budget FROM o{k})"""
 
 
 _OP4 = rf"""
