@@ -6,15 +6,11 @@ chunks of a file, so that one very long file is no single task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statspark.operators.ordered import carry_forward, chunked, previous, running_sum
 
-# Stakes of the logged game.
-START_STACK, SMALL_BLIND, BIG_BLIND = 500, 5, 10
-LAST_STREET = 4
-
 # Line formats of the log, first match wins.
 LINE_FORMATS = (
     ("round", r"^Round #\d+, "),
@@ -158,291 +154,21 @@ def clock_use(clocks: DataFrame, by: list[str], order: list[str], clock: str = "
     return out.withColumn("seconds", F.col("_was") - F.col(clock)).drop("_was")
 
 
-# --- replay -----------------------------------------------------------------
-
-
-def round_actions(events: DataFrame) -> DataFrame:
-    """One row per round: seat 0 (small blind) and seat 1 names, and the ordered actions.
-
-    A round is a handful of actions, so its list is short.
-    """
-    inside = events.where(F.col("round").isNotNull())
-    act = F.when(F.col("code").isNotNull(), F.struct("line_no", "code", F.col("amount").cast("int").alias("amount")))
-    blind = F.when(F.col("kind") == "blind", F.col("line_no"))
-    return inside.groupBy("file", "round").agg(
-        F.min_by("player", blind).alias("seat0"),
-        F.max_by("player", blind).alias("seat1"),
-        F.array_sort(F.collect_list(act)).alias("actions"),
-    )
-
-
-def _state(button, street, pip0, pip1, stack0, stack1, folded, done) -> Column:
-    return F.struct(
-        *[
-            c.cast("int").alias(n)
-            for n, c in (
-                ("button", button), ("street", street), ("pip0", pip0), ("pip1", pip1),
-                ("stack0", stack0), ("stack1", stack1), ("folded", folded),
-            )
-        ],
-        done.alias("done"),
-    )
-
-
-def _step(s: Column, action: Column) -> Column:
-    """The state after one action. Seat ``button % 2`` acts."""
-    first = s["button"] % 2 == 0
-    mine = F.when(first, s["pip0"]).otherwise(s["pip1"])
-    theirs = F.when(first, s["pip1"]).otherwise(s["pip0"])
-    code = action["code"]
-    pip = F.when(code == "C", theirs).when(code == "R", action["amount"]).otherwise(mine)
-    paid = pip - mine
-    pip0, pip1 = F.when(first, pip).otherwise(s["pip0"]), F.when(first, s["pip1"]).otherwise(pip)
-    stack0 = s["stack0"] - F.when(first, paid).otherwise(0)
-    stack1 = s["stack1"] - F.when(first, 0).otherwise(paid)
-    # a call ends the street, save the small blind's completion; a check ends it once both have spoken
-    ends = ((code == "C") & (s["button"] > 0)) | (
-        (code == "K") & (s["button"] > F.when(s["street"] == 0, 0).otherwise(1))
-    )
-    over = ends & (s["street"] == LAST_STREET)
-    turn = ends & ~over
-    fold = code == "F"
-    return _state(
-        F.when(turn, 1).when(fold | over, s["button"]).otherwise(s["button"] + 1),
-        F.when(turn, s["street"] + 2).otherwise(s["street"]),
-        F.when(turn, 0).otherwise(pip0),
-        F.when(turn, 0).otherwise(pip1),
-        stack0,
-        stack1,
-        F.when(fold, s["button"] % 2).otherwise(s["folded"]),
-        s["done"] | fold | over,
-    )
-
-
-def replay(rounds: DataFrame) -> DataFrame:
-    """Add the ``states`` of each round: the one before the first action, then one per action."""
-    start = _state(
-        F.lit(0), F.lit(0), F.lit(SMALL_BLIND), F.lit(BIG_BLIND), F.lit(START_STACK - SMALL_BLIND),
-        F.lit(START_STACK - BIG_BLIND), F.lit(-1), F.lit(False),
-    )
-    states = F.aggregate(
-        "actions", F.array(start), lambda acc, a: F.concat(acc, F.array(_step(F.element_at(acc, -1), a)))
-    )
-    return rounds.withColumn("states", states)
-
-
-def replay_steps(replayed: DataFrame) -> DataFrame:
-    """One row per action: the state it met (``before``) and the state it left (``after``)."""
-    pairs = F.transform(
-        "actions",
-        lambda a, i: F.struct(
-            (i + 1).alias("seq"), a["code"].alias("code"), a["amount"].alias("amount"),
-            F.element_at("states", i + 1).alias("before"), F.element_at("states", i + 2).alias("after"),
-        ),
-    )
-    keep = [c for c in replayed.columns if c not in ("actions", "states")]
-    return replayed.select(*keep, F.inline(pairs))
-
-
-def audit_legality(steps: DataFrame) -> DataFrame:
-    """Is each action allowed in the state it met, and is a raise within its bounds?"""
-    b = F.col("before")
-    first = b["button"] % 2 == 0
-    mine, theirs = F.when(first, b["pip0"]).otherwise(b["pip1"]), F.when(first, b["pip1"]).otherwise(b["pip0"])
-    stack, other = (
-        F.when(first, b["stack0"]).otherwise(b["stack1"]),
-        F.when(first, b["stack1"]).otherwise(b["stack0"]),
-    )
-    cost = theirs - mine
-    top = F.least(stack, other + cost)
-    low = F.least(top, cost + F.greatest(cost, F.lit(BIG_BLIND)))
-    may_raise = F.when(cost == 0, (stack > 0) & (other > 0)).otherwise((cost != stack) & (other > 0))
-    code = F.col("code")
-    legal = (
-        F.when(b["done"], False)
-        .when(code == "F", True)
-        .when(code == "K", cost == 0)
-        .when(code == "C", cost != 0)
-        .otherwise(may_raise & F.col("amount").between(mine + low, mine + top))
-    )
-    return steps.withColumns(
-        {"cost": cost, "min_raise": mine + low, "max_raise": mine + top, "legal": F.coalesce(legal, F.lit(False))}
-    )
-
-
-def street_contributions(replayed: DataFrame) -> DataFrame:
-    """Chips each seat put in on each street that was reached; blinds count to the first."""
-    keep = [c for c in ("file", "round", "seat0", "seat1") if c in replayed.columns]
-
-    def put(seat: int, street: int) -> Column:
-        """Total put in when the street opens; missing if it was not reached."""
-        here = F.filter("states", lambda s: s["street"] == street)
-        return F.array_min(F.transform(here, lambda s: START_STACK - s[f"stack{seat}"]))
-
-    def end(seat: int) -> Column:
-        return START_STACK - F.element_at("states", -1)[f"stack{seat}"]
-
-    rows = []
-    for street in (0, 2, LAST_STREET):
-        cells = [F.lit(street).alias("street"), put(0, street).isNotNull().alias("reached")]
-        for seat in (0, 1):
-            closed = F.coalesce(put(seat, street + 2), end(seat)) if street < LAST_STREET else end(seat)
-            opened = put(seat, street) if street else F.lit(0)
-            cells.append((closed - opened).alias(f"put{seat}"))
-        rows.append(F.struct(*cells))
-    return replayed.select(*keep, F.inline(F.array(*rows))).where("reached").drop("reached")
+# --- streets ----------------------------------------------------------------
 
 
-def settle(stack0: Column, stack1: Column, winner: Column, button: Column) -> Column:
-    """Seat 0's delta: the winner (0, 1, or 2 for a split) takes what the other put in.
+def street_contributions(events: DataFrame) -> DataFrame:
+    """Chips each player put in on each street that a board line closes.
 
-    A fraction is rounded down when seat 0 is to act, else up.
+    Board lines carry what every player has put in so far, so a street's share is the difference to the round's
+    board line before. A round has a handful of board lines, so its window is small.
     """
-    delta = (
-        F.when(winner == 0, START_STACK - stack1)
-        .when(winner == 1, stack0 - START_STACK)
-        .otherwise(START_STACK - stack0)
-    )
-    return F.when(button % 2 == 0, F.floor(delta)).otherwise(F.ceil(delta)).cast("int")
-
-
-def settle_rounds(replayed: DataFrame, winner: Column | None = None) -> DataFrame:
-    """Expected delta of seat 0 per finished round; ``winner`` decides showdowns."""
-    last = F.element_at("states", -1)
-    shown = winner if winner is not None else F.lit(None).cast("int")
-    won = F.when(last["folded"] >= 0, 1 - last["folded"]).otherwise(shown)
-    out = replayed.withColumns({"end": last, "winner": won}).where(F.col("end.done"))
-    return out.withColumn(
-        "expected",
-        F.when(
-            F.col("winner").isNotNull(),
-            settle(F.col("end.stack0"), F.col("end.stack1"), F.col("winner"), F.col("end.button")),
-        ),
-    )
-
-
-def audit_payoffs(settled: DataFrame, results: DataFrame) -> DataFrame:
-    """Compare the recorded delta of seat 0 with the expected one."""
-    paid = results.select("file", "round", F.col("player").alias("seat0"), F.col("delta").alias("recorded"))
-    return settled.join(paid, ["file", "round", "seat0"], "left").withColumn(
-        "agrees", F.col("recorded") == F.col("expected")
-    )
-
-
-# --- showdown ---------------------------------------------------------------
-
-
-# Rank order and suits of the cards.
-RANKS, SUITS = "23456789TJQKA", ("c", "d", "h", "s")
-
-
-def with_hand_strength(df: DataFrame, cards: str | Column, name: str) -> DataFrame:
-    """Add the comparable strength of the best five of a list of cards: category, then tie-breakers.
-
-    Categories: 8 straight flush, 7 four, 6 full house, 5 flush, 4 straight,
-    3 three, 2 two pairs, 1 pair, 0 high card. Cards are rank + suit, e.g. ``Th``.
-    Built in steps so that each part is worked out once per row.
-    """
-
-    def rank(c: Column) -> Column:
-        return F.position(F.substring(c, 1, 1), F.lit(RANKS)) + 1
-
-    def descending(ranks: Column) -> Column:
-        return F.reverse(F.array_sort(ranks))
-
-    def with_low_ace(ranks: str) -> Column:
-        return F.when(F.array_contains(ranks, 14), F.concat(ranks, F.array(F.lit(1)))).otherwise(F.col(ranks))
-
-    def best_run(ranks: str) -> Column:
-        """Highest card of five in a row; missing without a run."""
-        inside = [F.array_contains(ranks, x) for x in range(15)]
-        out = None
-        for high in range(14, 4, -1):
-            run = inside[high]
-            for x in range(high - 4, high):
-                run = run & inside[x]
-            out = F.when(run, high) if out is None else out.when(run, high)
-        return out
-
-    groups = F.filter(
-        F.transform(
-            F.array_distinct("_ranks"),
-            lambda r: F.struct((F.size("_ranks") - F.size(F.array_remove("_ranks", r))).alias("n"), r.alias("r")),
-        ),
-        lambda g: g["n"] > 0,
-    )
-
-    def ranks_of(suit: str) -> Column:
-        return F.transform(F.filter("_cards", lambda c: F.substring(c, 2, 1) == suit), rank)
-
-    by_suit = F.array(*[ranks_of(s) for s in SUITS])
-    staged = (
-        df.withColumn("_cards", F.col(cards) if isinstance(cards, str) else cards)
-        .withColumn("_ranks", F.transform("_cards", rank))
-        .withColumns({"_groups": descending(groups), "_suits": by_suit})
-        .withColumns(
-            {
-                "_flush": F.get(F.filter("_suits", lambda a: F.size(a) >= 5), F.lit(0)),
-                "_order": F.transform("_groups", lambda g: g["r"]),
-                "_counts": F.transform("_groups", lambda g: g["n"]),
-                "_low": with_low_ace("_ranks"),
-            }
-        )
-        .withColumn("_flush_low", with_low_ace("_flush"))
-        .withColumns({"_run": best_run("_low"), "_flush_run": best_run("_flush_low")})
-    )
-    n1, n2 = F.get("_counts", F.lit(0)), F.get("_counts", F.lit(1))
-    r1, r2 = F.get("_order", F.lit(0)), F.get("_order", F.lit(1))
-
-    def highest_without(*used: Column) -> Column:
-        return F.array_max(F.array_except("_ranks", F.array(*used)))
-
-    def category(n: int, rest: Column) -> Column:
-        return F.concat(F.array(F.lit(n)), rest)
-
-    strength = (
-        F.when(F.col("_flush_run").isNotNull(), category(8, F.array("_flush_run")))
-        .when(n1 == 4, category(7, F.array(r1, highest_without(r1))))
-        .when((n1 == 3) & (n2 >= 2), category(6, F.array(r1, r2)))
-        .when(F.col("_flush").isNotNull(), category(5, F.slice(descending(F.col("_flush")), 1, 5)))
-        .when(F.col("_run").isNotNull(), category(4, F.array("_run")))
-        .when(n1 == 3, category(3, F.slice("_order", 1, 3)))
-        .when((n1 == 2) & (n2 == 2), category(2, F.array(r1, r2, highest_without(r1, r2))))
-        .when(n1 == 2, category(1, F.slice("_order", 1, 4)))
-        .otherwise(category(0, F.slice("_order", 1, 5)))
-    )
-    return staged.withColumn(name, strength).drop(
-        "_cards", "_ranks", "_groups", "_suits", "_flush", "_order", "_counts", "_low", "_flush_low", "_run", "_flush_run"
-    )
-
-
-def showdown(df: DataFrame, hand0: str = "hand0", hand1: str = "hand1", board: str = "board") -> DataFrame:
-    """Strengths of both hands with the shared board, and the winner (0, 1, or 2 for a split)."""
-    scored = with_hand_strength(df, F.concat(hand0, board), "strength0")
-    scored = with_hand_strength(scored, F.concat(hand1, board), "strength1")
-    winner = F.when(F.col("strength0") > F.col("strength1"), 0).when(F.col("strength0") < F.col("strength1"), 1)
-    return scored.withColumn("winner", winner.otherwise(2))
-
-
-def shown_hands(events: DataFrame) -> DataFrame:
-    """One row per round that reached a showdown: both shown hands and the last board.
-
-    Each player of a round shows once, so the lists are short.
-    """
-    inside = events.where(F.col("round").isNotNull() & F.col("kind").isin("blind", "shows", "board"))
-    line = F.col("line_no")
-    seat = {k: F.when(F.col("kind") == k, line) for k in ("blind", "shows", "board")}
-    per = inside.groupBy("file", "round").agg(
-        F.min_by("player", seat["blind"]).alias("seat0"),
-        F.max_by("player", seat["blind"]).alias("seat1"),
-        F.min_by(F.struct("player", "cards"), seat["shows"]).alias("one"),
-        F.max_by(F.struct("player", "cards"), seat["shows"]).alias("two"),
-        F.max_by("cards", seat["board"]).alias("board"),
-    )
-    return per.where(F.col("one").isNotNull()).select(
-        "file",
-        "round",
-        F.when(F.col("one.player") == F.col("seat0"), F.col("one.cards")).otherwise(F.col("two.cards")).alias("hand0"),
-        F.when(F.col("one.player") == F.col("seat0"), F.col("two.cards")).otherwise(F.col("one.cards")).alias("hand1"),
-        "board",
-    )
+    seats = F.regexp_extract(F.col("line"), r"\](.*)$", 1)
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(seats, F.lit(r", ([^()]+) \((\d+)\)"), F.lit(1)).alias("player"),
+        F.regexp_extract_all(seats, F.lit(r", ([^()]+) \((\d+)\)"), F.lit(2)).alias("total"),
+    )
+    boards = events.where(F.col("kind") == "board").select("file", "round", "line_no", (F.col("street") - 2).alias("street"), F.inline(pairs))
+    boards = boards.toDF("file", "round", "line_no", "street", "player", "total").withColumn("total", F.col("total").try_cast("long"))
+    earlier = F.lag("total").over(Window.partitionBy("file", "round", "player").orderBy("line_no"))
+    return boards.select("file", "round", "street", "player", (F.col("total") - F.coalesce(earlier, F.lit(0))).alias("put"))

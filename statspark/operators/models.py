@@ -62,15 +62,20 @@ def roc_auc(df: DataFrame, score: str, y: str) -> DataFrame:
 
 
 def roc_points(df: DataFrame, score: str, y: str) -> DataFrame:
-    """False and true positive rate at every distinct threshold (score >= threshold is positive)."""
+    """False and true positive rate at every distinct threshold (score >= threshold is positive).
+
+    The curve starts at threshold +infinity with both rates 0.
+    """
     ranked = ranked_values(df, [score], tallies={"pos": F.when(F.col(y) == 1, 1).otherwise(0)})
     tp = F.col("total_pos") - F.col("below_pos")
     fp = (F.col("total_n") - F.col("total_pos")) - (F.col("below_n") - F.col("below_pos"))
-    return ranked.select(
+    start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    points = ranked.select(
         F.col("value").alias("threshold"),
         F.try_divide(fp, F.col("total_n") - F.col("total_pos")).alias("fpr"),
         F.try_divide(tp, F.col("total_pos")).alias("tpr"),
     )
+    return points.unionByName(start)
 
 
 def confusion_matrix(df: DataFrame, y: str, pred: str, labels: Sequence) -> DataFrame:

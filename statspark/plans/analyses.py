@@ -40,7 +40,7 @@ def statistical_analysis(
         "outcome_correlations": association.outcome_correlations(df, numeric, outcome, positive),
         "risks": association.sorted_risk_table(df, risk_factors, outcome, positive),
         "one_way": anova.one_way(df, factors, numeric),
-        "two_way": anova.two_way(df, factors[:3], numeric[:3], outcome, positive),
+        "two_way": anova.two_way(df, factors, numeric, outcome, positive),
         "logistic": regression.logistic_inference(df, numeric, factors, outcome, positive),
     }
     out["findings"] = findings.key_findings(

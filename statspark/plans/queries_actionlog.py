@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statspark.operators import actionlog as L
 from statspark.operators.ordered import previous, running_sum
-from statspark.plans.registry import Registry, r, report, table
+from statspark.plans.registry import Registry, report, table
 from statspark.session import scratch_dir
 from statspark.sources.logs import read_log_lines, write_log_lines
 
@@ -34,7 +34,13 @@ def event_log(spark, d) -> DataFrame:
         .otherwise(F.concat(name, F.lit(" attempted illegal RaiseAction")))
     )
     head = F.when(seat == 1, F.concat(F.lit("Round #"), rnd.cast("string"), F.lit(", "), name, F.lit(" (0)")))
-    board = F.when(seat == 5, F.lit("Flop [Ah 7d], A (10), B (10)")).when(seat == 8, F.lit("Turn [Ah 7d 2c Ts], A (10), B (10)"))
+    whole = F.abs(F.floor(F.col("value"))).cast("int")
+
+    def seats(cards: str, own: int, other: int):
+        """A board line: what the player and the opponent have put in so far."""
+        return F.concat(F.lit(cards + ", "), name, F.lit(" ("), (whole % 40 + own).cast("string"), F.lit("), B ("), (whole % 15 + other).cast("string"), F.lit(")"))
+
+    board = F.when(seat == 5, seats("Flop [Ah 7d]", 10, 10)).when(seat == 8, seats("Turn [Ah 7d 2c Ts]", 60, 30))
     award = F.when(seat == 10, F.concat(name, F.lit(" awarded "), (F.floor(F.col("value")).cast("int") - 50).cast("string")))
     lines = F.array(*[F.struct(F.lit(i).alias("sub"), x.alias("line")) for i, x in enumerate((head, board, action, award))])
     return (
@@ -165,126 +171,14 @@ def _(spark, d):
     )
 
 
-# --- one legal round per order ----------------------------------------------
-
-
-def order_rounds(spark, d) -> DataFrame:
-    """A betting round per order: its script follows the status, its raise the customer.
-
-    F: raise, fold. O: call, check, check, bet, call, check, check. P: raise,
-    re-raise to three times, call, check, check, bet 50, fold.
-    """
-    raise_to = (F.col("o_custkey") % 55 + 12).cast("int")
-
-    def acts(*steps):
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(i).cast("long").alias("line_no"), F.lit(c).alias("code"),
-                    (F.lit(None) if a is None else a).cast("int").alias("amount"),
-                )
-                for i, (c, a) in enumerate(steps)
-            ]
-        )
-
-    k, c, f = ("K", None), ("C", None), ("F", None)
-    st = F.col("o_orderstatus")
-    script = (
-        F.when(st == "F", acts(("R", raise_to), f))
-        .when(st == "O", acts(c, k, k, ("R", raise_to), c, k, k))
-        .otherwise(acts(("R", raise_to), ("R", raise_to * 3), c, k, k, ("R", F.lit(50)), f))
-    )
-    return table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("file"), F.lit(1).alias("round"), F.lit("A").alias("seat0"), F.lit("B").alias("seat1"),
-        script.alias("actions"),
-    )
-
-
-ROUND = "o AS (SELECT o_orderkey AS file, o_orderstatus AS st, o_custkey % 55 + 12 AS x FROM orders)"
-
-
-@REG.query(
-    "l08_replay",
-    f"WITH {ROUND} SELECT file, CASE st WHEN 'F' THEN 500 - x WHEN 'O' THEN 490 - x ELSE 500 - 3 * x END AS stack0, "
-    "CASE st WHEN 'F' THEN 490 WHEN 'O' THEN 490 - x ELSE 450 - 3 * x END AS stack1, CASE st WHEN 'F' THEN 0 ELSE 4 END AS street, "
-    "CASE st WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END AS folded, CASE st WHEN 'F' THEN 2 ELSE 7 END AS n_actions FROM o",
-)
-def _(spark, d):
-    end = F.element_at("states", -1)
-    out = L.replay(order_rounds(spark, d)).select(
-        "file", *[end[c].alias(c) for c in ("stack0", "stack1", "street", "folded")], F.size("actions").alias("n_actions")
-    )
-    return report(out)
-
-
 @REG.query(
     "l06_street_contributions",
-    f"WITH {ROUND} SELECT file, 0 AS street, CASE st WHEN 'O' THEN 10 WHEN 'F' THEN x ELSE 3 * x END AS put0, "
-    "CASE st WHEN 'P' THEN 3 * x ELSE 10 END AS put1 FROM o UNION ALL "
-    "SELECT file, 2, CASE st WHEN 'O' THEN x ELSE 0 END, CASE st WHEN 'O' THEN x ELSE 0 END FROM o WHERE st <> 'F' UNION ALL "
-    "SELECT file, 4, 0, CASE st WHEN 'P' THEN 50 ELSE 0 END FROM o WHERE st <> 'F'",
+    f"WITH {RN}, p AS (SELECT file, round, 0 AS street, file AS player, 10 + abs(cents) % 40 AS total FROM x WHERE seat = 5 "
+    "UNION ALL SELECT file, round, 0, 'B', 10 + abs(cents) % 15 FROM x WHERE seat = 5 "
+    "UNION ALL SELECT file, round, 2, file, 60 + abs(cents) % 40 FROM x WHERE seat = 8 "
+    "UNION ALL SELECT file, round, 2, 'B', 30 + abs(cents) % 15 FROM x WHERE seat = 8) "
+    "SELECT file, round, street::BIGINT AS street, player, "
+    "(total - coalesce(lag(total) OVER (PARTITION BY file, round, player ORDER BY street), 0))::BIGINT AS put FROM p",
 )
 def _(spark, d):
-    out = L.street_contributions(L.replay(order_rounds(spark, d)))
-    return report(out.select("file", "street", "put0", "put1"))
-
-
-@REG.query(
-    "l09_legality",
-    f"WITH {ROUND} SELECT st AS script, code, count(*) AS n, count(*) FILTER (NOT ok) AS n_illegal FROM ("
-    "SELECT st, 'R' AS code, x >= 20 AS ok FROM o WHERE st IN ('F', 'P') UNION ALL SELECT st, 'R', x >= 10 FROM o WHERE st = 'O' UNION ALL "
-    "SELECT st, 'R', 3 * x >= x + greatest(x - 10, 10) FROM o WHERE st = 'P' UNION ALL SELECT st, 'R', TRUE FROM o WHERE st = 'P' UNION ALL "
-    "SELECT st, 'F', TRUE FROM o WHERE st IN ('F', 'P') UNION ALL SELECT st, 'C', TRUE FROM o, range(2) WHERE st = 'O' UNION ALL "
-    "SELECT st, 'C', TRUE FROM o WHERE st = 'P' UNION ALL SELECT st, 'K', TRUE FROM o, range(4) WHERE st = 'O' UNION ALL "
-    "SELECT st, 'K', TRUE FROM o, range(2) WHERE st = 'P') GROUP BY ALL",
-)
-def _(spark, d):
-    steps = L.audit_legality(L.replay_steps(L.replay(order_rounds(spark, d))))
-    status = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_orderstatus").alias("script"))
-    return (
-        steps.join(status, "file")
-        .groupBy("script", "code")
-        .agg(F.count("*").alias("n"), F.count_if(~F.col("legal")).alias("n_illegal"))
-    )
-
-
-@REG.query(
-    "l10_settlement",
-    f"WITH {ROUND} SELECT file, CASE st WHEN 'F' THEN 10 WHEN 'O' THEN 10 + x ELSE -3 * x END AS expected, TRUE AS agrees FROM o",
-)
-def _(spark, d):
-    # seat 0 is taken to win every showdown
-    settled = L.settle_rounds(L.replay(order_rounds(spark, d)), F.lit(0))
-    o = table(spark, d, "orders")
-    x = F.col("o_custkey") % 55 + 12
-    st = F.col("o_orderstatus")
-    paid = o.select(
-        F.col("o_orderkey").alias("file"), F.lit(1).alias("round"), F.lit("A").alias("player"),
-        F.when(st == "F", 10).when(st == "O", 10 + x).otherwise(-3 * x).cast("long").alias("delta"),
-    )
-    return report(L.audit_payoffs(settled, paid).select("file", "expected", "agrees"))
-
-
-def dealt_hands(spark, d) -> DataFrame:
-    """Three cards each and a board of four per order, from a deck shuffled by key hash."""
-    deck = F.array(*[F.lit(rk + s) for rk in "23456789TJQKA" for s in "cdhs"])
-    mixed = F.transform(
-        F.array_sort(F.transform(deck, lambda c: F.struct(F.xxhash64(F.col("o_orderkey"), c).alias("h"), c.alias("c")))),
-        lambda p: p["c"],
-    )
-    return (
-        table(spark, d, "orders")
-        .select("o_orderkey", mixed.alias("deck"))
-        .select(
-            "o_orderkey", F.slice("deck", 1, 3).alias("hand0"), F.slice("deck", 4, 3).alias("hand1"),
-            F.slice("deck", 7, 4).alias("board"),
-        )
-    )
-
-
-@REG.query("l11_showdown")
-def _(spark, d):
-    out = L.showdown(dealt_hands(spark, d))
-    return out.groupBy(F.get("strength0", F.lit(0)).alias("category"), "winner").agg(
-        F.count("*").alias("n"), r(F.avg("o_orderkey")).alias("mean_key")
-    )
+    return report(L.street_contributions(events_of(spark, d)))

@@ -43,7 +43,8 @@ def _(spark, d):
     "m19_roc_points",
     f"WITH {SCORED}, v AS (SELECT score, sum(y) AS p, count(*) - sum(y) AS q FROM s GROUP BY 1) SELECT score AS threshold, "
     "round(sum(q) OVER (ORDER BY score DESC) / sum(q) OVER ()::DOUBLE, 6) AS fpr, "
-    "round(sum(p) OVER (ORDER BY score DESC) / sum(p) OVER ()::DOUBLE, 6) AS tpr FROM v",
+    "round(sum(p) OVER (ORDER BY score DESC) / sum(p) OVER ()::DOUBLE, 6) AS tpr FROM v "
+    "UNION ALL SELECT 'infinity'::DOUBLE, 0.0, 0.0",
 )
 def _(spark, d):
     return report(M.roc_points(scored(spark, d), "score", "y"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statspark.sources.tables import read_table
+
 
 class Registry:
     def __init__(self) -> None:
@@ -24,7 +26,7 @@ class Registry:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet")
 
 
 def r(col: str | Column, digits: int = 6) -> Column:

@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests, a local folder is used.
+    Only where the setting is absent and the master is local, as in tests, a local folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="statspark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives executor loss."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bucket_count(spark: SparkSession) -> int:
     """Number of value ranges used for global order: follows the cluster's parallelism."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
-    """Scan a table; CSV has a header line and should be given an explicit schema."""
+    """Scan a table, NaN as NULL in every format; CSV has a header line and should be given an explicit schema."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
@@ -24,8 +24,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
             reader = reader.option("inferSchema", True)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.options(**options).load(path)
-    return nan_to_null(df) if fmt == "csv" else df
+    return nan_to_null(reader.options(**options).load(path))
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by=()) -> str:

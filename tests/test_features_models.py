@@ -17,7 +17,7 @@ from statspark.operators import features as X
 from statspark.operators import models as M
 from statspark.operators import profile as P
 from statspark.plans import analyses
-from statspark.session import materialise, scratch_dir
+from statspark.session import scratch_dir
 from statspark.sources import models as store
 from statspark.sources import tables as IO
 
@@ -229,11 +229,10 @@ def test_statistical_analysis_and_sinks(spark, df):
     assert IO.read_table(spark, paths["risks"], "csv").count() == 3
 
 
-def test_records_and_materialise(spark):
+def test_records(spark):
     assert IO.as_records(spark, [{"a": 1}, {"a": 2}]).count() == 2
     with pytest.raises(ValueError):
         IO.as_records(spark, "text")
-    assert materialise(spark.range(5)).count() == 5
 
 
 def test_dense_network_learns(spark, df):
