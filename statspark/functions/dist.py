@@ -1,7 +1,8 @@
 """Tail probabilities for summary rows.
 
-Numpy kernels of the textbook series and continued fractions, wrapped as Arrow
-pandas UDFs. They run on a handful of aggregated rows, never on raw data.
+Numpy kernels of series and continued fractions, wrapped as Arrow pandas UDFs.
+They run on a handful of aggregated rows, never on raw data; ``norm_cdf``, which
+does, is a column expression.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
+#: Rows up to which the Kolmogorov tail is summed term by term.
+KS_SUM = 100_000
 _TINY = 1e-300
 _EPS = 1e-15
 
@@ -61,26 +65,15 @@ def upper_gamma(a, x):
 
 
 def _beta_fraction(a, b, x):
-    qab, qap, qam = a + b, a + 1, a - 1
-    c = np.ones_like(x)
-    d = 1 - qab * x / qap
-    d = 1 / np.where(np.abs(d) < _TINY, _TINY, d)
-    h = d.copy()
-    for m in range(1, 100_000):
-        m2 = 2 * m
-        for num in (
-            m * (b - m) * x / ((qam + m2) * (a + m2)),
-            -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2)),
-        ):
-            d = 1 + num * d
-            d = 1 / np.where(np.abs(d) < _TINY, _TINY, d)
-            c = 1 + num / c
-            c = np.where(np.abs(c) < _TINY, _TINY, c)
-            step = d * c
-            h = h * step
-        if np.all(np.abs(step - 1) < _EPS * 10):
-            break
-    return h
+    """1 / (1 + d1 / (1 + d2 / (1 + …))), the fraction of the incomplete beta, from its far end."""
+    depth = 100 + int(6 * math.sqrt(float(np.max(np.maximum(a, b)))))
+    tail = np.ones_like(x)
+    for m in range(depth, -1, -1):
+        if m < depth:
+            k = m + 1
+            tail = 1 + k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)) / tail
+        tail = 1 - (a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) / tail
+    return 1 / tail
 
 
 def beta_cdf(a, b, x):
@@ -159,12 +152,18 @@ def fisher_two_sided(a, b, c, d) -> float:
 
 
 def ks_two_sided(d: float, n: int) -> float:
-    """P(D_n >= d): twice the exact one-sided law in the tail, exact matrix or series elsewhere."""
+    """P(D_n >= d): twice the one-sided law in the tail, exact matrix or series elsewhere.
+
+    The one-sided law is its finite sum up to ``KS_SUM`` rows, and its expansion in 1/n above.
+    """
     if not (d > 0):
         return 1.0
     if d >= 1:
         return 0.0
     if n * d * d > 2.2:
+        if n > KS_SUM:
+            z = (6 * n * d + 1) ** 2 / (18 * n)
+            return float(min(1.0, 2 * math.exp(-z) * max(0.0, 1 - (2 * z * z - 4 * z - 1) / (18 * n))))
         j = np.arange(0, math.floor(n * (1 - d)) + 1, dtype=float)
         base = np.maximum(1 - d - j / n, _TINY)
         logs = (
@@ -278,9 +277,31 @@ def norm_sf2(z: pd.Series) -> pd.Series:
     return _series(norm_two_sided(z.to_numpy(float)))
 
 
-@F.pandas_udf(T.DoubleType())
-def norm_cdf(z: pd.Series) -> pd.Series:
-    return _series(norm_cdf_array(z.to_numpy(float)))
+def norm_cdf(z: Column) -> Column:
+    """Normal distribution function as a column expression, for use on raw rows."""
+    # Hart's double-precision rational approximation of the upper tail, highest power first.
+    above = [
+        3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
+        221.213596169931, 220.206867912376,
+    ]
+    below = [
+        8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674,
+        637.333633378831, 793.826512519948, 440.413735824752,
+    ]
+    x = F.abs(z)
+
+    def polynomial(coefficients):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    far = x
+    for k in (4, 3, 2, 1):  # Mills' ratio as a continued fraction
+        far = x + k / (far + 0.65 if k == 4 else far)
+    bell = F.exp(-x * x / 2)
+    tail = F.when(x < 7.07, bell * polynomial(above) / polynomial(below)).otherwise(bell / far / math.sqrt(2 * math.pi))
+    return F.when(z.isNull() | F.isnan(z), None).when(z > 0, 1 - tail).otherwise(tail)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -11,7 +11,7 @@ from statspark.functions import dist
 from statspark.functions import scalars as S
 from statspark.operators.association import pearson_pairs, risk_table, spearman_pairs
 from statspark.operators.profile import crosstab_percent, melt, two_factor_means
-from statspark.operators.rank import _clean, ranked_values, wide_quantiles
+from statspark.operators.rank import _clean, join_groups, ranked_values, wide_quantiles
 from statspark.operators.sampling import fixed_sample
 
 
@@ -28,7 +28,7 @@ def _binned(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> DataF
     x = _clean(col)
     extent = _extent(df, x, by)
     values = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
-    placed = values.join(extent, list(by)) if by else values.crossJoin(F.broadcast(extent))
+    placed = join_groups(values, extent, by) if by else values.crossJoin(F.broadcast(extent))
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.least(F.floor(F.try_divide(F.col("_x") - F.col("lo"), F.nullif(width, F.lit(0.0)))), F.lit(bins - 1))
     keys = [*by, "lo", "hi", "total", "mean", "sd"]
@@ -105,8 +105,7 @@ def box_stats(df: DataFrame, col: str, group: str) -> DataFrame:
     x = _clean(col)
     inside = x.between(F.col("lower"), F.col("upper"))
     return (
-        df.select(group, col)
-        .join(fences, group)
+        join_groups(df.select(group, col), fences, [group])
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, x)).alias("whisker_low"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from statspark.functions import dist
 from statspark.functions import scalars as S
-from statspark.operators.profile import per_column, unbiased_kurtosis, unbiased_skewness
+from statspark.operators.profile import melt, per_column, unbiased_kurtosis, unbiased_skewness
 from statspark.operators.rank import exact_quantiles, ranked_values
 from statspark.operators.sampling import fixed_sample
 
@@ -113,17 +113,21 @@ def ks_normal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def normality_table(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str], n: int = SAMPLE, seed: int = 42
 ) -> DataFrame:
-    """Shapiro-Wilk, D'Agostino-Pearson and KS on one seeded sample per column, with flags."""
-    long = column_samples(df, cols, keys, n, seed)
-    # one column per feature; each sample row fills its own column
-    wide = long.select(*[F.when(F.col("feature") == c, F.col("value")).alias(c) for c in cols])
-    moments = long.groupBy("feature").agg(
+    """Normality per column, with flags: K2, KS and moments over all ``n_total`` rows.
+
+    Shapiro-Wilk, which is defined up to 5000 values, reads a seeded sample of ``n_sample``.
+    """
+    samples = column_samples(df, cols, keys, n, seed)
+    rows = melt(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), [], cols, "feature", "value")
+    rows = rows.where(F.col("value").isNotNull())
+    moments = rows.groupBy("feature").agg(
         unbiased_skewness(F.col("value")).alias("skewness"), unbiased_kurtosis(F.col("value")).alias("kurtosis")
     )
     out = (
-        shapiro(long)
-        .join(dagostino(long).drop("n"), "feature")
-        .join(ks_normal(wide, cols).drop("n"), "feature")
+        shapiro(samples)
+        .join(samples.groupBy("feature").agg(F.count("value").alias("n_sample")), "feature")
+        .join(dagostino(rows).withColumnRenamed("n", "n_total"), "feature")
+        .join(ks_normal(df, cols).drop("n"), "feature")
         .join(moments, "feature")
     )
     flags = {f"normal_by_{t}": S.normal_flag(F.col(f"{t}_p")) for t in ("shapiro", "k2", "ks")}

@@ -20,8 +20,10 @@ SEGMENT = "_segment"
 
 
 def _as_number(df: DataFrame, c: str) -> Column:
-    """Order-preserving number of a numeric or time column."""
+    """Order-preserving number of a numeric or time column; text has none."""
     kind = dict(df.dtypes)[c]
+    if kind in ("string", "binary") or kind.startswith(("char", "varchar")):
+        raise TypeError(f"{c} is {kind}: an order key must be a number, a date or a time; rank text keys first")
     if kind == "timestamp":
         return F.unix_micros(c).cast("double")
     if kind == "timestamp_ntz":  # no zone: use its own calendar fields

@@ -150,6 +150,8 @@ def exact_quantiles(
 
 ACCURACY = 20_000
 MAX_GROUPS, MAX_BRACKETS = 50, 600
+#: Equal-width pieces of a bracket; the order inside a piece is one window.
+PIECES = 256
 
 
 def _zone(x: Column, intervals: Sequence[tuple[float, float]]) -> Column:
@@ -197,7 +199,8 @@ def _quantiles_by_bracket(
         return _quantiles_by_range(df, cols, probs, by, buckets)
     ends = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-slack, slack)})
     aggs = [F.percentile_approx(_clean(c), ends, accuracy).alias(f"_s{i}") for i, c in enumerate(cols)]
-    aggs += [F.count(_clean(c)).alias(f"_n{i}") for i, c in enumerate(cols)]
+    for i, c in enumerate(cols):
+        aggs += [F.count(_clean(c)).alias(f"_n{i}"), F.min(_clean(c)).alias(f"_lo{i}"), F.max(_clean(c)).alias(f"_hi{i}")]
     sketches = (src.groupBy(*by).agg(*aggs) if by else src.agg(*aggs)).collect()
     if len(sketches) * len(cols) * len(probs) > MAX_BRACKETS:
         return _quantiles_by_range(df, cols, probs, by, buckets)
@@ -210,9 +213,11 @@ def _quantiles_by_bracket(
                 continue
             pairs = []
             for j, p in enumerate(probs):
-                # a bracket end at 0 or 1 is open: the sketch need not hold the extremes
-                low = marks[ends.index(p - slack)] if p - slack > 0 else -_INF
-                high = marks[ends.index(p + slack)] if p + slack < 1 else _INF
+                # the sketch need not hold the extremes
+                low = marks[ends.index(p - slack)] if p - slack > 0 else row[f"_lo{i}"]
+                high = marks[ends.index(p + slack)] if p + slack < 1 else row[f"_hi{i}"]
+                if p <= 0 or p >= 1:
+                    low = high = row[f"_lo{i}"] if p <= 0 else row[f"_hi{i}"]
                 pairs.append((low, high))
                 wanted[g, i, j] = p * (n - 1)
             intervals[g, i] = _merged(pairs)
@@ -256,12 +261,29 @@ def _quantiles_by_bracket(
         .groupBy("g", "i", "zone", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    w = Window.partitionBy("g", "i").orderBy("zone", "value").rowsBetween(Window.unboundedPreceding, 0)
+    # at most MAX_BRACKETS rows
+    spans = spark.createDataFrame(
+        [(g, i, 2 * k + 1, a, b) for (g, i), found in intervals.items() for k, (a, b) in enumerate(found)],
+        "g int, i int, zone int, low double, high double",
+    )
+    width = F.col("high") - F.col("low")
+    piece = F.least(F.floor((F.col("value") - F.col("low")) / width * PIECES), F.lit(PIECES - 1))
+    counts = counts.join(F.broadcast(spans), ["g", "i", "zone"], "left").select(
+        "g", "i", "zone", "value", "n", F.when((width > 0) & (width < _INF), piece).otherwise(0).cast("int").alias("piece")
+    )
+    keys = ["g", "i", "zone", "piece"]
+    ahead = Window.partitionBy("g", "i").orderBy("zone", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_in"))
+    totals = totals.select(*keys, F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     positions = sorted({(g, i, int(k)) for (g, i, _), at in wanted.items() for k in (at // 1, -(-at // 1))})
     targets = spark.createDataFrame(positions, "g int, i int, pos long")
     inside = (
-        counts.withColumn("upto", F.sum("n").over(w))
-        .where(F.col("value").isNotNull())
+        counts.where(F.col("value").isNotNull())
+        .withColumn("upto", F.sum("n").over(w))
+        # at most PIECES rows per bracket, and one per zone between brackets
+        .join(F.broadcast(totals), keys)
+        .withColumn("upto", F.col("upto") + F.col("_off"))
         # at most two positions per group, column and quantile
         .join(F.broadcast(targets), ["g", "i"])
         .where((F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("n")))
@@ -272,7 +294,7 @@ def _quantiles_by_bracket(
         lo, hi = (g, i, int(at // 1)), (g, i, int(-(-at // 1)))
         if lo not in seen or hi not in seen:
             return _quantiles_by_range(df, cols, probs, by, buckets)
-        value = seen[lo] + (seen[hi] - seen[lo]) * (at - lo[2])
+        value = seen[lo] if seen[lo] == seen[hi] else seen[lo] + (seen[hi] - seen[lo]) * (at - lo[2])
         rows.append((*[sketches[g][b] for b in by], cols[i], float(probs[j]), value))
     return spark.createDataFrame(rows, schema)
 
@@ -310,7 +332,12 @@ def _quantiles_by_range(
         placed.groupBy(*by, "feature", "prob", "at", "lo")
         .agg(pick("lo").alias("vlo"), pick("hi").alias("vhi"))
         .select(
-            *by, "feature", "prob", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * frac).alias("quantile")
+            *by,
+            "feature",
+            "prob",
+            F.when(F.col("vlo") == F.col("vhi"), F.col("vlo"))
+            .otherwise(F.col("vlo") + (F.col("vhi") - F.col("vlo")) * frac)
+            .alias("quantile"),
         )
     )
 
@@ -331,44 +358,71 @@ def wide_quantiles(
     )
 
 
-def lookup_skewed(df: DataFrame, key: Column, table: DataFrame, name: str, frequent: Column) -> DataFrame:
-    """Left lookup of ``table(_key, name, …)`` that no hot key can unbalance.
+def lookups_skewed(df: DataFrame, lookups: Mapping[str, tuple[Column, DataFrame, Column]]) -> DataFrame:
+    """Left lookups ``name -> (key, table(_key, name, …), frequent)`` that no hot key can unbalance.
 
     ``frequent`` marks table rows whose key holds more than a fixed share of the
     data; a share above 1/k can hold for at most k keys, so that side is
-    broadcast. The other keys meet their row in a shuffle join.
+    broadcast. Rows that need nothing else are never shuffled. Every other row
+    has a rare key, so its copies are few as well, and it meets the rare keys in
+    shuffle joins; where it has no rare key itself, its hash spreads it.
     """
-    hot = F.broadcast(table.where(frequent).select("_key", F.col(name).alias("_hot")))
-    cold = table.where(~frequent).select(
-        F.col("_key").alias("_cold"), name, F.lit(0).cast("long").alias("_salt")
-    )
-    served = df.withColumn("_key", key).join(hot, "_key", "left")
-    waits = F.col("_hot").isNull() & F.col("_key").isNotNull()
-    return (
-        # rows already served carry no key; their row hash spreads them over the tasks
-        served.withColumns(
-            {
-                "_cold": F.when(waits, F.col("_key")),
-                "_salt": F.when(waits, F.lit(0).cast("long")).otherwise(F.xxhash64(*df.columns)),
-            }
+    names, seen, waits = list(lookups), df, {}
+    for i, (name, (key, table, frequent)) in enumerate(lookups.items()):
+        hot = table.where(frequent).select(F.col("_key").alias(f"_h{i}"), F.col(name).alias(f"_hot{i}"))
+        seen = seen.withColumn(f"_k{i}", key).join(F.broadcast(hot), F.col(f"_k{i}") == F.col(f"_h{i}"), "left")
+        waits[name] = F.col(f"_k{i}").isNotNull() & F.col(f"_h{i}").isNull()
+    any_waits = F.lit(False)
+    for w in waits.values():
+        any_waits = any_waits | w
+    done = seen.where(~any_waits).withColumns({name: F.col(f"_hot{i}") for i, name in enumerate(names)})
+    rest = seen.where(any_waits)
+    for i, (name, (_, table, frequent)) in enumerate(lookups.items()):
+        cold = table.where(~frequent).select(F.col("_key").alias("_cold"), name, F.lit(0).cast("long").alias("_salt"))
+        rest = (
+            rest.withColumns(
+                {
+                    "_cold": F.when(waits[name], F.col(f"_k{i}")),
+                    "_salt": F.when(waits[name], F.lit(0).cast("long")).otherwise(F.xxhash64(*df.columns)),
+                }
+            )
+            .join(cold, ["_cold", "_salt"], "left")
+            .withColumn(name, F.coalesce(f"_hot{i}", name))
+            .drop("_cold", "_salt")
         )
-        .join(cold, ["_cold", "_salt"], "left")
-        .withColumn(name, F.coalesce("_hot", name))
-        .drop("_key", "_cold", "_hot", "_salt")
-    )
+    out = [*df.columns, *names]
+    return done.select(*out).unionByName(rest.select(*out))
+
+
+def lookup_skewed(df: DataFrame, key: Column, table: DataFrame, name: str, frequent: Column) -> DataFrame:
+    """One lookup by ``lookups_skewed``."""
+    return lookups_skewed(df, {name: (key, table, frequent)})
+
+
+#: Groups whose summary rows are broadcast; beyond, both sides are shuffled and AQE splits a hot group.
+FEW_GROUPS = 10_000
+
+
+def join_groups(df: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bring one summary row per group to its rows, without moving the rows while groups are few."""
+    rows = summary.limit(FEW_GROUPS + 1).collect()
+    if len(rows) <= FEW_GROUPS:
+        summary = F.broadcast(df.sparkSession.createDataFrame(rows, summary.schema))
+    return df.join(summary, list(by))
 
 
 def with_midranks(df: DataFrame, cols: Mapping[str, str], buckets: int | None = None) -> DataFrame:
     """Add the mid-rank of each column ``source -> new name``; missing stays missing."""
     limit = buckets or bucket_count(df.sparkSession)
     splits = split_points(df, list(cols), limit)
-    out = df
+    frequent = F.col("n") * limit > F.col("total_n")
+    lookups = {}
     for source, name in cols.items():
         mine = ranked_values(df, [source], splits=splits).select(
             F.col("value").alias("_key"), F.col("midrank").alias(name), "n", "total_n"
         )
-        out = lookup_skewed(out, _clean(source), mine, name, F.col("n") * limit > F.col("total_n"))
-    return out
+        lookups[name] = (_clean(source), mine, frequent)
+    return lookups_skewed(df, lookups)
 
 
 def with_percent_ranks(df: DataFrame, col: str, name: str = "pct_rank") -> DataFrame:

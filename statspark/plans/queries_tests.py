@@ -8,7 +8,6 @@ from statspark.operators import anova as V
 from statspark.operators import association as A
 from statspark.operators import hypothesis as H
 from statspark.operators import profile as P
-from statspark.operators.sampling import fixed_sample
 from statspark.plans.queries_profile import LI_NUM, union_sql
 from statspark.plans.registry import Registry, report, table
 from statspark.plans.sqlmath import chi2_p, f_p, norm_cdf, norm_p2, t_p2
@@ -132,7 +131,13 @@ def _(spark, d):
     return report(H.mann_whitney(li(spark, d), LI_NUM, "l_linestatus", "F", "O"))
 
 
-@REG.query("t09_choose_test")
+@REG.query(
+    "t09_choose_test",
+    f"{MWU}, {MOMENTS.removeprefix('WITH ')}, "
+    f"t AS (SELECT feature, u, {norm_p2('greatest(z, 0)')} AS p, abs(m1 - m2) / sqrt((v1 + v2) / 2) AS d FROM z JOIN m USING (feature)) "
+    "SELECT feature, 'Mann-Whitney U test' AS test, u::DOUBLE AS statistic, round(p, 6) AS p_value, p < 0.05 AS significant, "
+    "round(d, 6) AS effect_size, CASE WHEN d < 0.5 THEN 'Small' WHEN d < 0.8 THEN 'Medium' ELSE 'Large' END AS magnitude FROM t",
+)
 def _(spark, d):
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
     return report(H.choose_tests(li(spark, d), LI_NUM, keys, "l_linestatus", "F", "O"))
@@ -140,14 +145,10 @@ def _(spark, d):
 
 # --- normality --------------------------------------------------------------
 
-SAMPLE_SQL = (
-    "SELECT o_totalprice AS value FROM orders ORDER BY md5(concat_ws('|', o_orderkey::VARCHAR, '42')), o_orderkey LIMIT 5000"
-)
-
-
-def price_sample(spark, d):
-    o = table(spark, d, "orders")
-    return fixed_sample(o, ["o_orderkey"]).select(F.lit("o_totalprice").alias("feature"), F.col("o_totalprice").alias("value"))
+def prices(spark, d):
+    """All order prices, long form."""
+    o = table(spark, d, "orders").where(F.col("o_totalprice").isNotNull())
+    return o.select(F.lit("o_totalprice").alias("feature"), F.col("o_totalprice").alias("value"))
 
 
 @REG.query("t01_shapiro")
@@ -158,7 +159,7 @@ def _(spark, d):
 
 def _k2_sql() -> str:
     return (
-        f"WITH x AS ({SAMPLE_SQL}), b AS (SELECT count(*)::DOUBLE AS n, avg(value) AS m FROM x), "
+        f"WITH x AS (SELECT o_totalprice AS value FROM orders WHERE o_totalprice IS NOT NULL), b AS (SELECT count(*)::DOUBLE AS n, avg(value) AS m FROM x), "
         "c AS (SELECT n, avg((value - m) ** 2) AS m2, avg((value - m) ** 3) AS m3, avg((value - m) ** 4) AS m4 FROM x, b GROUP BY n), "
         "g AS (SELECT n, m3 / m2 ** 1.5 AS g1, m4 / (m2 * m2) AS b2 FROM c), "
         "s AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) "
@@ -176,18 +177,22 @@ def _k2_sql() -> str:
 
 @REG.query("t02_dagostino", _k2_sql())
 def _(spark, d):
-    return report(H.dagostino(price_sample(spark, d)), k2=4)
+    return report(H.dagostino(prices(spark, d)), k2=4)
 
 
 @REG.query(
     "t03_ks_normal",
-    f"WITH x AS ({SAMPLE_SQL}), g AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n FROM x), "
+    f"WITH x AS (SELECT o_totalprice AS value FROM orders WHERE o_totalprice IS NOT NULL), g AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n FROM x), "
     "v AS (SELECT value, count(*) AS c, sum(count(*)) OVER (ORDER BY value) AS upto FROM x GROUP BY 1), "
-    f"f AS (SELECT {norm_cdf('(value - mu) / sd')} AS cdf, (upto - c) / n AS lo, upto / n AS hi FROM v, g) "
-    "SELECT 'value' AS feature, round(max(greatest(abs(cdf - lo), abs(hi - cdf))), 6) AS ks_d FROM f",
+    f"f AS (SELECT {norm_cdf('(value - mu) / sd')} AS cdf, (upto - c) / n AS lo, upto / n AS hi FROM v, g), "
+    "e AS (SELECT max(greatest(abs(cdf - lo), abs(hi - cdf))) AS d, (SELECT n FROM g) AS n FROM f), "
+    # the one-sided law, doubled: a term per number of values below the gap
+    "p AS (SELECT d, n, 2 * d * (SELECT sum(exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + (j - 1) * ln(d + j / n) "
+    "+ (n - j) * ln(greatest(1 - d - j / n, 1e-300)))) FROM range(n) r(j) WHERE j <= n * (1 - d)) AS p FROM e) "
+    "SELECT 'value' AS feature, n::BIGINT AS n, round(d, 6) AS ks_d, round(least(p, 1), 6) AS ks_p FROM p",
 )
 def _(spark, d):
-    return report(H.ks_normal(price_sample(spark, d), ["value"]).select("feature", "ks_d"))
+    return report(H.ks_normal(prices(spark, d), ["value"]))
 
 
 @REG.query("t03_normality_table")

@@ -115,3 +115,54 @@ def test_byte_budget_keeps_last_chunk_whole(spark):
     df = spark.createDataFrame([("f", i, "é" * 2) for i in range(5)], "f string, i long, t string")
     kept = O.byte_budget(df, ["f"], ["i"], "t", 10)
     assert sorted(r["i"] for r in kept.collect()) == [0, 1, 2]
+
+
+def test_rows_of_hot_values_stay_where_they_are(spark):
+    n = 40_000
+    df = spark.range(n, numPartitions=8).select(
+        F.when(F.col("id") % 10 < 9, 1.0).otherwise(F.col("id").cast("double")).alias("x"),
+        F.when(F.col("id") % 10 < 9, 2.0).otherwise((F.col("id") % 7).cast("double")).alias("y"),
+    )
+    out = R.with_midranks(df, {"x": "rx", "y": "ry"})
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) < n / 4
+    got, pdf = out.toPandas(), df.toPandas()
+    for c in "xy":
+        want = dict(zip(pdf[c], pdf[c].rank()))
+        assert (got[c].map(want) == got[f"r{c}"]).all()
+
+
+def test_several_lookups_with_missing_keys(spark):
+    df = spark.createDataFrame([(1.0, None), (1.0, 5.0), (2.0, 5.0), (None, None), (None, 6.0)], "x double, y double")
+    got = R.with_midranks(df, {"x": "rx", "y": "ry"}, 2).toPandas()
+    pdf = df.toPandas()
+    want = pdf.assign(rx=pdf.x.rank(), ry=pdf.y.rank())
+    order = ["x", "y"]
+    pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))
+
+
+def test_wide_brackets_are_cut_into_pieces(spark):
+    df = spark.range(50_000).select((F.xxhash64("id") % 20_000).cast("double").alias("x"), (F.col("id") % 3).alias("g"))
+    probs = [0, 0.25, 0.5, 0.75, 1]
+    got = R._quantiles_by_bracket(df, ["x"], probs, ["g"], accuracy=20).collect()
+    pdf = df.toPandas()
+    assert len(got) == 15
+    for r in got:
+        assert r["quantile"] == pdf[pdf.g == r["g"]]["x"].quantile(r["prob"])
+    ends = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),)], "x double")
+    assert [r["quantile"] for r in R.exact_quantiles(ends, ["x"], [0, 0.5, 1]).orderBy("prob").collect()] == [float("-inf"), 1.5, float("inf")]
+
+
+def test_few_groups_are_not_shuffled(spark, monkeypatch):
+    df = spark.createDataFrame([(g, float(i)) for i in range(40) for g in ("a", "b")], "g string, x double")
+    means = df.groupBy("g").agg(F.avg("x").alias("m"))
+    few = R.join_groups(df, means, ["g"])
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(R, "FEW_GROUPS", 1)
+    assert sorted(few.collect()) == sorted(R.join_groups(df, means, ["g"]).collect())
+
+
+def test_text_order_keys_are_refused(spark):
+    df = spark.createDataFrame([("a", "x", 1)], "g string, t string, v long")
+    with pytest.raises(TypeError, match="rank text keys"):
+        O.running_sum(df, ["g"], ["t"], "v", "total")

@@ -90,6 +90,29 @@ def test_ks_matrix_and_series_meet():
     assert dist.ks_two_sided(0.0265, 2900) == pytest.approx(1 - dist._ks_matrix(0.0265, 2900), rel=2e-3)
 
 
+def test_ks_sum_and_expansion_meet(monkeypatch):
+    exact = [dist.ks_two_sided(d, 100_000) for d in (0.0048, 0.006, 0.01)]
+    monkeypatch.setattr(dist, "KS_SUM", 1000)
+    assert [dist.ks_two_sided(d, 100_000) for d in (0.0048, 0.006, 0.01)] == pytest.approx(exact, rel=1e-6)
+    assert 0 < dist.ks_two_sided(1e-5, 10**12) < 1e-80
+
+
+def test_normal_cdf_column(spark):
+    z = [-40.0, -9.0, -7.07, -3.1, -0.4, 0.0, 0.2, 2.5, 7.5, 40.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select("z", dist.norm_cdf(F.col("z")).alias("p")).collect()
+    for r in got:
+        want = 0.5 * math.erfc(-r["z"] / math.sqrt(2))
+        assert r["p"] == pytest.approx(want, rel=1e-7 if r["z"] < -5 else 1e-13, abs=1e-300)
+    assert spark.range(1).select(dist.norm_cdf(F.lit(float("nan")))).first()[0] is None
+
+
+def test_normality_reads_all_rows(spark):
+    df = spark.range(12_000).select("id", ((F.xxhash64("id") % 1000) / 10).alias("x"))
+    r = H.normality_table(df, ["x"], ["id"]).first()
+    assert (r["n_sample"], r["n_total"]) == (5000, 12_000)
+    assert r["ks_d"] == pytest.approx(H.ks_normal(df, ["x"]).first()["ks_d"])
+
+
 def test_tail_functions():
     assert dist.chi2_tail([3.0], [2.0])[0] == pytest.approx(math.exp(-1.5))
     assert dist.t_two_sided([1.0], [1.0])[0] == pytest.approx(0.5)
