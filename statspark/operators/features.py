@@ -126,15 +126,22 @@ def drop_first_dummies(df: DataFrame, factors: Sequence[str], below: int = 10) -
 
     A column for missing values is made only where there are any.
     """
-    gaps = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in factors]).first() if factors else {}
+    if not factors:
+        return df, []
+    # two scans for all factors: a rough count keeps wide factors out of the second
+    seen = df.agg(
+        *[F.count_if(F.col(f).isNull()).alias(f"gaps{i}") for i, f in enumerate(factors)],
+        *[F.approx_count_distinct(f).alias(f"about{i}") for i, f in enumerate(factors)],
+    ).first()
+    narrow = {f: seen[f"gaps{i}"] for i, f in enumerate(factors) if seen[f"about{i}"] < 2 * below}
+    found = df.agg(*[F.collect_set(f).alias(f) for f in narrow]).first().asDict() if narrow else {}
     made: dict[str, Column] = {}
-    for f in factors:
-        found = [r[0] for r in df.select(f).where(F.col(f).isNotNull()).distinct().limit(below).collect()]
-        if len(found) >= below:
+    for f, gaps in narrow.items():
+        if len(found[f]) >= below:
             continue
-        for level in sorted(found)[1:]:
+        for level in sorted(found[f])[1:]:
             made[f"{f}_{level}"] = F.coalesce((F.col(f) == F.lit(level)).cast("double"), F.lit(0.0))
-        if gaps[f]:
+        if gaps:
             made[f"{f}_nan"] = F.col(f).isNull().cast("double")
     return df.withColumns(made) if made else df, list(made)
 

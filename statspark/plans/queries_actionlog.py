@@ -159,15 +159,16 @@ def _(spark, d):
 
 @REG.query(
     "s05_text_log",
-    "SELECT count(*) AS n, sum(event_id)::BIGINT AS total, 0::BIGINT AS out_of_order FROM events",
+    "SELECT count(*) AS n, count(*) AS last_line, sum(event_id)::BIGINT AS total, 0::BIGINT AS out_of_order FROM events",
 )
 def _(spark, d):
     ev = table(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("line"))
     path = write_log_lines(ev, scratch_dir(spark, "log"), ["event_id"])
-    back = read_log_lines(spark, path).withColumn("id", F.col("line").cast("long"))
+    back = read_log_lines(spark, path, one_per_folder=True).withColumn("id", F.col("line").cast("long"))
     checked = previous(L.chunked(back, "line_no"), ["file"], ["line_no"], "id", "was")
     return checked.agg(
-        F.count("*").alias("n"), F.sum("id").alias("total"), F.count_if(F.col("was") >= F.col("id")).alias("out_of_order")
+        F.count("*").alias("n"), F.max("line_no").alias("last_line"), F.sum("id").alias("total"),
+        F.count_if(F.col("was") >= F.col("id")).alias("out_of_order"),
     )
 
 

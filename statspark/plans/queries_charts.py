@@ -91,7 +91,16 @@ def _(spark, d):
     return report(C.box_stats(ev(spark, d), "value", "event_type"))
 
 
-@REG.query("c05_violin")
+@REG.query(
+    "c05_violin",
+    "WITH g AS (SELECT event_type, min(value) AS lo, max(value) AS hi, count(value) AS n, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS q1, "
+    "quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1), "
+    "b AS (SELECT event_type, least(floor((value - lo) / ((hi - lo) / 1000)), 999) AS bin, count(*) AS c FROM events JOIN g USING (event_type) GROUP BY ALL), "
+    "k AS (SELECT event_type, i, lo + (hi - lo) * i / 49 AS x, lo + (hi - lo) * (bin + 0.5) / 1000 AS centre, n ** (-0.2) * s AS h, c / n AS share, "
+    "q1, median, q3 FROM g JOIN b USING (event_type), range(50) r(i)) "
+    "SELECT event_type, i AS point, round(x, 6) AS x, round(sum(share * exp(-1 * (((x - centre) / h) ** 2) / 2) / (h * sqrt(2 * pi()))), 6) AS density, "
+    "round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3 FROM k GROUP BY ALL",
+)
 def _(spark, d):
     return report(C.violin(ev(spark, d), "value", "event_type", points=50))
 

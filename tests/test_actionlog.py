@@ -136,3 +136,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len([f for f in os.listdir(out) if f.startswith("batch=")]) == 5
     got = sorted(map(tuple, X.latest_totals(spark, out).collect()))
     assert got == sorted(map(tuple, X.player_totals(spark.read.text(str(tmp_path)).withColumnRenamed("value", "line")).collect()))
+
+
+def test_part_files_of_a_folder_are_one_log(spark):
+    lines = spark.range(5000, numPartitions=4).select("id", F.concat(F.lit("line "), "id").alias("line"))
+    path = write_log_lines(lines, scratch_dir(spark, "log"), ["id"])
+    back = read_log_lines(spark, path, one_per_folder=True).toPandas().sort_values("line_no")
+    assert back["file"].nunique() == 1
+    assert back["line_no"].tolist() == list(range(1, 5001))
+    assert back["line"].tolist() == [f"line {i}" for i in range(5000)]
