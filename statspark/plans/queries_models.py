@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from statspark.operators import features as X
 from statspark.operators import models as M
 from statspark.operators import regression as G
-from statspark.plans.queries_tests import oc
+from statspark.plans.queries_tests import OC, oc
 from statspark.plans.registry import Registry, r, report, table
+from statspark.plans.sqlmath import norm_p2
 from statspark.session import scratch_dir
 from statspark.sources.models import load_model, save_model
 
@@ -269,8 +270,22 @@ def _(spark, d):
     return report(fit.select("n", "r2", "adj_r2", "aic", "bic"), 6, aic=2, bic=2)
 
 
-@REG.query("t27_significant_terms")
+@REG.query(
+    "t27_significant_terms",
+    f"WITH {OC}, s AS (SELECT c_acctbal AS x, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0 END AS w, o_totalprice AS y FROM oc), "
+    "g AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, avg(w) AS mw, avg(y) AS my FROM s), "
+    "c AS (SELECT n, mx, mw, my, x - mx AS x, w - mw AS w, y - my AS y FROM s, g), "
+    "m AS (SELECT sum(x * x) AS xx, sum(w * w) AS ww, sum(x * w) AS xw, sum(x * y) AS xy, sum(w * y) AS wy FROM c), "
+    "b AS (SELECT *, xx * ww - xw * xw AS det, (ww * xy - xw * wy) / (xx * ww - xw * xw) AS bx, (xx * wy - xw * xy) / (xx * ww - xw * xw) AS bw FROM m), "
+    "i AS (SELECT n, mx, mw, my, bx, bw, (ww * x - xw * w) / det AS ix, (xx * w - xw * x) / det AS iw, "
+    "(y - bx * x - bw * w) / (1 - 1 / n - (ww * x * x - 2 * xw * x * w + xx * w * w) / det) AS u FROM c, b), "
+    "v AS (SELECT bx, bw, my - bx * mx - bw * mw AS a, sqrt(sum((ix * u) ** 2)) AS sx, sqrt(sum((iw * u) ** 2)) AS sw, "
+    "sqrt(sum(((1 / n - mx * ix - mw * iw) * u) ** 2)) AS sa FROM i GROUP BY ALL), "
+    "t AS (SELECT 'c_acctbal' AS term, bx AS coef, sx AS std_err FROM v UNION ALL SELECT 'urgent', bw, sw FROM v UNION ALL SELECT 'const', a, sa FROM v), "
+    f"p AS (SELECT *, {norm_p2('coef / std_err')} AS p_value FROM t) "
+    "SELECT term, round(coef, 4) AS coef, round(std_err, 4) AS std_err, round(p_value, 6) AS p_value FROM p WHERE p_value < 0.05",
+)
 def _(spark, d):
     src = oc(spark, d).withColumn("urgent", (F.col("o_orderpriority") == "1-URGENT").cast("double"))
     coef, _ = G.ols_hc3(src, ["c_acctbal", "urgent"], "o_totalprice")
-    return report(G.significant_terms(coef).select("term", r("coef"), r("std_err"), r("p_value")))
+    return report(G.significant_terms(coef).select("term", r("coef", 4), r("std_err", 4), r("p_value")))
