@@ -326,6 +326,12 @@ def vector_names(df: DataFrame, col: str = "features") -> list[str]:
     return [names.get(i, f"slot_{i}") for i in range(meta["num_attrs"])]
 
 
+def plain_slot(name: str) -> str:
+    """The column (and level) behind a slot of ``fit_preprocessor``; only the mark that it set last is taken off."""
+    head, mark, level = name.rpartition("__cat__oh")
+    return f"{head}{level}" if mark else name.removesuffix("__num")
+
+
 def fit_pca(
     df: DataFrame, features: str = "features", share: float = 0.95, output: str = "components"
 ) -> tuple[PipelineModel, DataFrame]:

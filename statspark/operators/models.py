@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -19,7 +20,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,9 +225,9 @@ def compare_classifiers(
     models: Mapping[str, Estimator] | None = None,
     seed: int = 42,
 ) -> dict[str, Fitted]:
-    """Fit each classifier on one shared preprocessing and measure exact test AUC.
+    """Fit each classifier on one shared preprocessing and measure exact test AUC and the confusion counts.
 
-    ``train`` and ``test`` carry a 0/1 ``label`` column.
+    ``train`` and ``test`` carry a 0/1 ``label`` column. ``metrics`` holds tn, fp, fn, tp.
     """
     out = {}
     cols = ["label", *numeric, *categorical]
@@ -237,14 +238,45 @@ def compare_classifiers(
                 fitted = est.copy()
                 fitted.setFeaturesCol("features").setLabelCol("label")
                 model = PipelineModel([*pre.stages, fitted.fit(ready)])
-                with kept(scored(model, held).select("score", "label")) as judged:
-                    out[name] = Fitted(name, model, roc_auc(judged, "score", "label").first()["auc"])
+                with kept(scored(model, held).select("score", "label", "prediction")) as judged:
+                    cells = judged.agg(
+                        *[
+                            F.count_if((F.col("label") == y) & (F.col("prediction") == p)).alias(cell)
+                            for cell, y, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+                        ]
+                    )
+                    auc = roc_auc(judged, "score", "label").first()["auc"]
+                    out[name] = Fitted(name, model, auc, cells.first().asDict())
     return out
 
 
 def comparison_table(spark, results: Mapping[str, Fitted]) -> DataFrame:
-    rows = [(i, r.name, r.auc) for i, r in enumerate(results.values())]
-    return spark.createDataFrame(rows, "ordinal int, model string, auc double")
+    """One row per model: AUC, confusion counts, accuracy, and the scores of the positive class."""
+    rows = [(i, r.name, r.auc, *[r.metrics[c] for c in ("tn", "fp", "fn", "tp")]) for i, r in enumerate(results.values())]
+    table = spark.createDataFrame(rows, "ordinal int, model string, auc double, tn long, fp long, fn long, tp long")
+    ratio = {
+        "accuracy": ("tn + tp", "tn + fp + fn + tp"),
+        "precision": ("tp", "tp + fp"),
+        "recall": ("tp", "tp + fn"),
+        "f1": ("2 * tp", "2 * tp + fp + fn"),
+    }
+    return table.withColumns({c: F.expr(f"coalesce(try_divide({a}, {b}), 0D)") for c, (a, b) in ratio.items()})
+
+
+def _per_model(results: Mapping[str, Fitted], test: DataFrame, judge) -> DataFrame:
+    parts = [judge(scored(r.model, test)).select(F.lit(r.name).alias("model"), "*") for r in results.values()]
+    return _stack(*parts)
+
+
+def model_reports(results: Mapping[str, Fitted], test: DataFrame) -> DataFrame:
+    """The classification report of every fitted model."""
+    return _per_model(results, test, lambda df: classification_report(df.withColumns(
+        {c: F.col(c).cast("int") for c in ("label", "prediction")}), "label", "prediction"))
+
+
+def model_roc(results: Mapping[str, Fitted], test: DataFrame) -> DataFrame:
+    """The ROC points of every fitted model."""
+    return _per_model(results, test, lambda df: roc_points(df.select("score", "label"), "score", "label"))
 
 
 def best_model(results: Mapping[str, Fitted]) -> Fitted:
@@ -257,7 +289,7 @@ def feature_importance(model: PipelineModel, df: DataFrame, k: int = 20) -> Data
     last = model.stages[-1]
     names = X.vector_names(PipelineModel(model.stages[:-1]).transform(df.limit(0)), last.getFeaturesCol())
     vector = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    rows = [(n.replace("__num", "").replace("__cat__oh", ""), abs(float(v))) for n, v in zip(names, vector.toArray())]
+    rows = [(X.plain_slot(n), abs(float(v))) for n, v in zip(names, vector.toArray())]
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.col("importance").desc(), "feature").limit(k)
 
@@ -294,29 +326,35 @@ def tune(
     parallelism: int = 4,
     seed: int = 42,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Cross-validated grid search on AUC; folds come from the row key. Returns best model and scores."""
+    """Cross-validated grid search on AUC; folds come from the row key. Returns best model and scores.
+
+    Medians, scales and levels are fitted anew on the training rows of each fold.
+    """
     fold = key_bucket(keys, seed + 1, folds).cast("int").alias("fold")
     estimator = estimator.copy()
     estimator.setFeaturesCol("features").setLabelCol("label")
-    with kept(train.select("label", fold, *numeric, *categorical)) as base:
+    judge = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
+    with kept(train.select("label", fold, *numeric, *categorical)) as base, ThreadPool(parallelism) as pool:
+        grid = grid or tuning_grid(name, estimator, base.count())
+        sums = [0.0] * len(grid)
+        for k in range(folds):
+            rest, held = base.where(F.col("fold") != k), base.where(F.col("fold") == k)
+            pre = X.fit_preprocessor(rest, numeric, categorical)
+            with kept(pre.transform(rest).select("label", "features")) as ready, \
+                    kept(pre.transform(held).select("label", "features")) as unseen:
+                ready.count()
+                scores = pool.map(lambda params: judge.evaluate(estimator.fit(ready, params).transform(unseen)), grid)
+            sums = [a + b for a, b in zip(sums, scores)]
+        best = max(range(len(grid)), key=lambda i: sums[i])
         pre = X.fit_preprocessor(base, numeric, categorical)
-        with kept(pre.transform(base).select("label", "features", "fold")) as data:
-            cv = CrossValidator(
-                estimator=estimator,
-                estimatorParamMaps=grid or tuning_grid(name, estimator, data.count()),
-                evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0),
-                numFolds=folds,
-                foldCol="fold",
-                parallelism=parallelism,
-                seed=seed,
-            )
-            fitted = cv.fit(data)
+        with kept(pre.transform(base).select("label", "features")) as ready:
+            chosen = estimator.fit(ready, grid[best])
     rows = [
-        (i, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a))
-        for i, (m, a) in enumerate(zip(cv.getEstimatorParamMaps(), fitted.avgMetrics))
+        (i, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), a / folds)
+        for i, (m, a) in enumerate(zip(grid, sums))
     ]
     table = train.sparkSession.createDataFrame(rows, "ordinal int, params string, auc double")
-    return PipelineModel([*pre.stages, fitted.bestModel]), table
+    return PipelineModel([*pre.stages, chosen]), table
 
 
 def predict(model: PipelineModel, data, spark=None, labels: Sequence = (0, 1)) -> DataFrame:

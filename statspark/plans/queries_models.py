@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from statspark.operators import features as X
@@ -129,23 +127,15 @@ def split(spark, d):
     return M.stratified_split(src, ["o_orderkey"], "o_orderstatus")
 
 
-def small_models():
-    return {
-        "Logistic Regression": LogisticRegression(maxIter=50, regParam=1e-4, standardization=False),
-        "Random Forest": RandomForestClassifier(numTrees=20, maxDepth=5, seed=42),
-        "Gradient Boosting": GBTClassifier(maxIter=10, maxDepth=3, seed=42),
-    }
-
-
 @REG.query("m17_compare_classifiers")
 def _(spark, d):
     train, test = split(spark, d)
-    return report(M.comparison_table(spark, M.compare_classifiers(train, test, OC_NUM, OC_CAT, small_models())))
+    return report(M.comparison_table(spark, M.compare_classifiers(train, test, OC_NUM, OC_CAT)))
 
 
 def forest(spark, d):
     train, test = split(spark, d)
-    models = {"Random Forest": small_models()["Random Forest"]}
+    models = {"Random Forest": M.default_classifiers(train.count())["Random Forest"]}
     return M.compare_classifiers(train, test, OC_NUM, OC_CAT, models)["Random Forest"].model, train, test
 
 
@@ -158,9 +148,8 @@ def _(spark, d):
 @REG.query("m23_tune")
 def _(spark, d):
     train, _test = split(spark, d)
-    est = LogisticRegression(maxIter=20)
-    grid = ParamGridBuilder().addGrid(est.regParam, [0.1, 0.001]).addGrid(est.elasticNetParam, [0.0, 1.0]).build()
-    _, scores = M.tune(train, OC_NUM, OC_CAT, ["o_orderkey"], "Logistic Regression", est, grid)
+    name = "Logistic Regression"
+    _, scores = M.tune(train, OC_NUM, OC_CAT, ["o_orderkey"], name, M.default_classifiers(train.count())[name])
     return report(scores)
 
 
@@ -193,7 +182,7 @@ def _(spark, d):
         return df
 
     inputs = [*OC_NUM, *[f"{c}_code" for c in OC_CAT]]
-    model = M.dense_network(encode(train), inputs, hidden=(8, 4), max_iter=20)
+    model = M.dense_network(encode(train), inputs)
     return report(M.scored(model, encode(test)).select("o_orderkey", "score"))
 
 

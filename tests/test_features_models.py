@@ -154,6 +154,16 @@ def test_classification_analysis(spark, df):
     assert best.auc == max(r.auc for r in results.values())
     names = {r["feature"] for r in M.feature_importance(results["Random Forest"].model, train).collect()}
     assert {"x", "w", "f_a"} <= names
+    n_test = test.count()
+    for row in M.comparison_table(spark, results).collect():
+        assert row["tn"] + row["fp"] + row["fn"] + row["tp"] == n_test
+    reports = {(r["model"], r["label"]): r for r in M.model_reports(results, test).collect()}
+    for name, fit in results.items():
+        assert reports[name, "1"]["support"] == fit.metrics["fn"] + fit.metrics["tp"]
+        assert reports[name, "accuracy"]["f1"] == pytest.approx((fit.metrics["tn"] + fit.metrics["tp"]) / n_test)
+    ends = M.model_roc(results, test).groupBy("model").agg({"fpr": "max", "tpr": "max", "threshold": "max"}).collect()
+    assert len(ends) == len(results)
+    assert all(r["max(fpr)"] == r["max(tpr)"] == 1.0 and r["max(threshold)"] == float("inf") for r in ends)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 10.0]).build()
     tuned, scores = M.tune(train, ["x", "w"], ["f"], ["id"], "Logistic Regression", lr, grid, folds=3)
     assert scores.count() == 2
@@ -164,6 +174,11 @@ def test_classification_analysis(spark, df):
         M.predict(tuned, 17, spark)
 
 
+def test_slot_names_lose_only_their_own_mark():
+    names = ["x__num", "a__num_b__num", "f__cat__oh_a", "a__num_b__cat__oh_z__num"]
+    assert [X.plain_slot(n) for n in names] == ["x", "a__num_b", "f_a", "a__num_b_z__num"]
+
+
 def test_tuning_grids_have_the_full_size():
     sizes = {
         name: len(M.tuning_grid(name, est, 100)) for name, est in M.default_classifiers(100).items()
