@@ -3,8 +3,10 @@
 Every page becomes a block tree (inline markup is transparent, runs of like siblings become one repeated slot). The
 trees of a host's pages are aligned by simple tree matching into one template per host. Over all pages of the host each
 template node is then counted: a text that stands at the same node under most of the host's different titles is
-template; nodes whose text varies are content. What pages mark as navigation, header, footer, sidebar, notice, advert,
-form or reader comment is never content, and an article or main element, where there is one, bounds it.
+template; nodes whose text varies are content. Elements and roles for navigation, headers, footers, asides, forms and
+dialogs are never content. Class names and ids of such parts count unless the node holds the page's article or nearly
+all of its varying text. Varying text outside the article or main element is content if its part of the page has a
+sentence's length; shorter ones are dates, counters and the like.
 
 A host may hold any share of all pages: trees are first made distinct in every task, merged in salted groups and only then
 per host, and the counts are combined before they shuffle.
@@ -45,6 +47,18 @@ _BOILER_WORDS = frozenset(
     "reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets copyright "
     "legal disclaimer recommended recommendations teaser".split()
 )
+#: Pieces that leave a compound name's meaning as it is: site-footer is a footer, has-sidebar and post-header are no boilerplate.
+_NEUTRAL = frozenset(
+    "area bar block bottom box container global group inner item items left link links list main outer panel primary right secondary "
+    "section site the top wrap wrapper".split()
+)
+#: Parts of an article that are not its text: post-comments, unlike post-header, is boilerplate.
+_OF_ARTICLE = frozenset("article blog entry news page post posts story user users".split())
+_ATTACHED = _BOILER_WORDS - frozenset("header banner masthead notice notices legal disclaimer copyright teaser promo promoted".split())
+#: What an article element itself can be named when it is a reader's comment or an advert.
+_NO_ARTICLE = frozenset("ad advert comment comments related reply sponsored promo teaser".split())
+#: A name can't mark what holds this share of the page's varying text; words from which a part outside the article is content.
+BULK, LEAST_WORDS = 0.9, 8
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _MAIN_ROLES = frozenset({"main", "article"})
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -59,20 +73,30 @@ class Node:
     label: str
     boiler: bool = False
     main: bool = False
+    named: bool = False
     parts: list = field(default_factory=list)
 
 
+def _names_boiler(name: str) -> bool:
+    """Whether a class name or id as a whole names boilerplate."""
+    words = {w.lower() for w in _SPLIT.split(name)} - {""}
+    rest = words - _BOILER_WORDS - _NEUTRAL
+    return bool(words & _BOILER_WORDS) and (not rest or (rest <= _OF_ARTICLE and not words & (_BOILER_WORDS - _ATTACHED)))
+
+
 @lru_cache(maxsize=50_000)
-def _traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label, boilerplate mark and main mark of a start tag."""
+def _traits(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Label, boilerplate mark, main mark and mark by name of a start tag."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = found.get("class", "").split()
-    words = {w.lower() for x in [*names, found.get("id", "")] for w in _SPLIT.split(x)}
     role = found.get("role", "").lower()
     main = tag in ("article", "main") or role in _MAIN_ROLES
     hidden = "hidden" in _ATTRIBUTE.sub("", attributes).lower().split() or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    boiler = tag in BOILER or role in _BOILER_ROLES or hidden or (bool(words & _BOILER_WORDS) and not (main and tag in ("article", "main") and not words & {"comment", "comments", "reply", "ad", "advert", "related", "teaser", "sponsored", "promo"}))
-    return ".".join([tag, *sorted(names)]), boiler, main
+    boiler = tag in BOILER or role in _BOILER_ROLES or hidden
+    marks = [x for x in [*names, *found.get("id", "").split()] if _names_boiler(x)]
+    if tag in ("article", "main"):
+        marks = [x for x in marks if x.lower() in _NO_ARTICLE]
+    return ".".join([tag, *sorted(names)]), boiler, main, bool(marks)
 
 
 def parse(page: str | None) -> tuple[Node, str]:
@@ -108,7 +132,7 @@ def parse(page: str | None) -> tuple[Node, str]:
                 if skips and skips[-1] == tag:
                     skips.pop()
                     inner = len(skips)
-            elif skips or (tag != "a" and _traits(tag, m[3])[1]):
+            elif skips or (tag != "a" and (_traits(tag, m[3])[1] or _traits(tag, m[3])[3])):
                 if not m[3].endswith("/") and (not skips or tag == skips[-1]):
                     skips.append(tag)
                     inner = len(skips)
@@ -130,8 +154,7 @@ def parse(page: str | None) -> tuple[Node, str]:
                     break
             elif stack[k].tag in SCOPES and not (tag in CLOSES and stack[k].tag in CLOSES[tag]):
                 break
-        label, boiler, main = _traits(tag, m[3])
-        node = Node(tag, label, boiler, main)
+        node = Node(tag, *_traits(tag, m[3]))
         stack[-1].parts.append(node)
         stack.append(node)
     if at < end and not inner:
@@ -214,17 +237,27 @@ def _aligned(template: str, tree: str) -> dict[tuple[int, ...], str]:
     return align(json.loads(template), json.loads(tree))
 
 
-def _blocks(root: Node) -> list[tuple[tuple[int, ...], str, bool, bool, str]]:
-    """(skeleton path, tag, boilerplate, inside main, text) of each run of text, in page order."""
+@dataclass
+class Block:
+    """A run of text: skeleton path, nodes from the root down to its own, hard boilerplate mark."""
+
+    path: tuple[int, ...]
+    nodes: tuple[Node, ...]
+    boiler: bool
+    text: str
+
+
+def _blocks(root: Node) -> list[Block]:
+    """The runs of text in page order."""
     out = []
 
-    def go(node, path, boiler, main):
-        boiler, main = boiler or node.boiler, main or node.main
+    def go(node, path, above, boiler):
+        nodes, boiler = (*above, node), boiler or node.boiler
         run: list[str] = []
 
         def flush():
             if run and (text := clean(run)):
-                out.append((path, node.tag, boiler, main, text))
+                out.append(Block(path, nodes, boiler, text))
             run.clear()
 
         last, k = None, 0
@@ -233,15 +266,48 @@ def _blocks(root: Node) -> list[tuple[tuple[int, ...], str, bool, bool, str]]:
                 flush()
                 if part.label != last:
                     last, k = part.label, k + 1
-                go(part, (*path, k), boiler, main)
+                go(part, (*path, k), nodes, boiler)
             else:
                 run.append(part)
         flush()
 
-    go(root, (), False, False)
+    go(root, (), (), False)
     return out
 
 
+def _in_main(block: Block) -> bool:
+    """Inside an article or main element that is not named an advert or a comment."""
+    return any(n.main and not n.named for n in block.nodes)
+
+
+def _sizes(blocks: list[Block]) -> dict[int, int]:
+    """Characters of the blocks under each node."""
+    out: dict[int, int] = {}
+    for b in blocks:
+        for n in b.nodes:
+            out[id(n)] = out.get(id(n), 0) + len(b.text)
+    return out
+
+
+def content_blocks(varying: list[Block]) -> list[Block]:
+    """The content among a page's varying blocks: names and the article bound it only as far as the text allows."""
+    # a name is no mark on what holds nearly all text of the article, or of the page if it has none
+    pool = [b for b in varying if _in_main(b)] or varying
+    sizes, total = _sizes(pool), sum(len(b.text) for b in pool)
+    marked = lambda n: n.named and sizes.get(id(n), 0) < BULK * total
+    content = [b for b in varying if not any(map(marked, b.nodes))]
+    inside = [b for b in content if _in_main(b)]
+    if not inside:
+        return content
+    # parts beside the article: the topmost node that holds none of its text
+    held = {id(n) for b in inside for n in b.nodes}
+    part = lambda b: next((id(n) for n in b.nodes if id(n) not in held), id(b))
+    words: dict[int, int] = {}
+    for b in content:
+        words[part(b)] = words.get(part(b), 0) + len(b.text.split())
+    return [b for b in content if _in_main(b) or words[part(b)] >= LEAST_WORDS]
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
@@ -296,9 +362,9 @@ def constants(pages: DataFrame, wrappers: DataFrame, min_titles: int, min_share:
                 root, title = parse(page)
                 places = _aligned(tree, json.dumps(skeleton(root), separators=(",", ":")))
                 mark = _hash(title)
-                for path, _, boiler, _, text in _blocks(root):
-                    if not boiler:
-                        seen[host, places.get(path, "?"), _hash(text), mark] = None
+                for b in _blocks(root):
+                    if not b.boiler:
+                        seen[host, places.get(b.path, "?"), _hash(b.text), mark] = None
                 seen[host, "", 0, mark] = None  # the page itself, for the number of titles
             cols = list(zip(*seen)) if seen else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["host", "place", "h", "title"])
@@ -318,9 +384,8 @@ def main_blocks(page: str | None, template: str | None = None, fixed: frozenset
     places: dict = {}
     if template and fixed:
         places = _aligned(template, json.dumps(skeleton(root), separators=(",", ":")))
-    content = [b for b in blocks if not b[2] and f"{places.get(b[0], '?')}|{_hash(b[4])}" not in fixed]
-    inside = [b for b in content if b[3]]
-    return [b[4] for b in (inside or content)]
+    varying = [b for b in blocks if not b.boiler and f"{places.get(b.path, '?')}|{_hash(b.text)}" not in fixed]
+    return [b.text for b in content_blocks(varying)]
 
 
 def extract_main(pages: DataFrame, page: str = "html", url: str = "url", *, min_titles: int = 5, min_share: float = 0.6, salts: int = 64) -> DataFrame:

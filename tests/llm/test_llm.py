@@ -312,6 +312,33 @@ def test_pages(spark):
     assert html.extract_main(frame.limit(0)).count() == 0
 
 
+LONG = "a long story of {0} that goes on for a while in part {0}"
+WRAPPED = [
+    "<body class='has-sidebar'><article><p>{x}</article>", "<body><div class='page with-comments'><p>{x}</div>", "<div id=content class=no-ads><p>{x}</div>",
+    "<article class='post has-comments'><p>{x}</article>", "<div class='post-header'><p>{x}</div>", "<div class='widget'><div class=social><p>{x}</div></div>",
+    "<body class='page sidebar'><main><p>{x}</main>",
+]
+
+
+@pytest.mark.parametrize("body", WRAPPED)
+def test_wrapper_names_keep_text(body):
+    assert html.main_blocks(body.format(x=LONG.format(1))) == [LONG.format(1)]
+
+
+def test_names_and_parts():
+    story = LONG.format(1)
+    for name in ("sidebar", "cookie-notice", "site-footer", "postComments", "nav-menu", "related"):
+        assert html.main_blocks(f"<div class='{name}'><p>{LONG.format(2)}</div><div class=text><p>{story}<p>{LONG.format(3)}</div>") == [story, LONG.format(3)]
+        assert html.main_blocks(f"<article><p>{story}<div id={name}><p>{LONG.format(2)}</div></article>") == [story]
+    assert html.main_blocks(f"<article><div class=post-header><h1>Title</h1></div><p>{story}</article>") == ["Title", story]
+    # text that goes on beside the article, with its short heading; a short line alone is none
+    page = f"<article><p>{story}</article><div><h2>On</h2><p>{LONG.format(4)}</div><div>3 views</div>"
+    assert html.main_blocks(page) == [story, "On", LONG.format(4)]
+    # a named list of other articles, and readers' comments that are articles
+    other = f"<article><p>{story}</article><div class=related><article><p>{LONG.format(5)}</article></div><article class=comment><p>{LONG.format(6)}</article>"
+    assert html.main_blocks(other) == [story]
+
+
 def test_tree_matching():
     a, b = ["d", ["p"], ["u", ["l"]], ["q"]], ["d", ["u", ["l"], ["m"]], ["q"], ["z"]]
     assert html._match(a, b)[0] == 4
