@@ -2,7 +2,7 @@
 
 Every page becomes a block tree (inline markup is transparent, runs of like siblings become one repeated slot). The
 trees of a host's pages are aligned by simple tree matching into one template per host. Over all pages of the host each
-template node is then counted: a text that stands at the same node under most of the host's different titles is
+template node is then counted: a text that stands at the same node on most of the host's different pages is
 template; nodes whose text varies are content. Elements and roles for navigation, headers, footers, asides, forms and
 dialogs are never content. Class names and ids of such parts count unless the node holds the page's article or nearly
 all of its varying text. Varying text outside the article or main element is content if its part of the page has a
@@ -349,10 +349,11 @@ def templates(pages: DataFrame, salts: int = 64) -> DataFrame:
     return store(_merged(_merged(_skeletons(pages, salts), ["host", "salt"]), ["host"]), "templates")
 
 
-def constants(pages: DataFrame, wrappers: DataFrame, min_titles: int, min_share: float) -> DataFrame:
+def constants(pages: DataFrame, wrappers: DataFrame, min_share: float) -> DataFrame:
     """(host, fixed): the texts that are template, as a list of place and text hash.
 
-    A text counts once per different title, so copies of a page don't make its text look like a template.
+    A text counts once per different page (title and all text that may be content), so copies of a page don't make its text
+    look like a template. It is template if at least ``min_share`` of the host's other pages have it too, and one at least.
     """
 
     def run(batches):
@@ -361,19 +362,18 @@ def constants(pages: DataFrame, wrappers: DataFrame, min_titles: int, min_share:
             for host, page, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "tree"))):
                 root, title = parse(page)
                 places = _aligned(tree, json.dumps(skeleton(root), separators=(",", ":")))
-                mark = _hash(title)
-                for b in _blocks(root):
-                    if not b.boiler:
-                        seen[host, places.get(b.path, "?"), _hash(b.text), mark] = None
-                seen[host, "", 0, mark] = None  # the page itself, for the number of titles
+                blocks = [b for b in _blocks(root) if not b.boiler]
+                mark = _hash("\n".join([clean([title]), *(b.text for b in blocks)]))
+                for b in blocks:
+                    seen[host, places.get(b.path, "?"), _hash(b.text), mark] = None
+                seen[host, "-", 0, mark] = None  # the page itself, for the number of pages
             cols = list(zip(*seen)) if seen else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["host", "place", "h", "title"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["host", "place", "h", "mark"])
 
-    rows = pages.select("host", "html").join(wrappers, "host").mapInArrow(run, "host string, place string, h long, title long")
-    counts = store(rows.distinct().groupBy("host", "place", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_titles), "places")
-    totals = counts.where("place = '' and h = 0").select("host", F.col("n").alias("titles"))
-    often = counts.where("place <> ''").join(totals, "host").where(F.col("n") >= F.lit(min_share) * F.col("titles"))
-    # at most 1 / min_share texts per place of a bounded template
+    rows = pages.select("host", "html").join(wrappers, "host").mapInArrow(run, "host string, place string, h long, mark long")
+    counts = store(rows.distinct().groupBy("host", "place", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1), "places")
+    totals = counts.where("place = '-'").select("host", F.col("n").alias("pages"))
+    often = counts.where("place <> '-'").join(totals, "host").where(F.col("n") - 1 >= F.lit(min_share) * (F.col("pages") - 1))
     return often.groupBy("host").agg(F.array_sort(F.collect_list(F.concat_ws("|", "place", "h"))).alias("fixed"))
 
 
@@ -388,7 +388,7 @@ def main_blocks(page: str | None, template: str | None = None, fixed: frozenset
     return [b.text for b in content_blocks(varying)]
 
 
-def extract_main(pages: DataFrame, page: str = "html", url: str = "url", *, min_titles: int = 5, min_share: float = 0.6, salts: int = 64) -> DataFrame:
+def extract_main(pages: DataFrame, page: str = "html", url: str = "url", *, min_share: float = 0.6, salts: int = 64) -> DataFrame:
     """``pages`` with ``text``: the content blocks in page order, joined by newlines (a column of this name is replaced).
 
     Character references are decoded and white space inside a block is one space. Null and empty pages, and pages
@@ -400,7 +400,7 @@ def extract_main(pages: DataFrame, page: str = "html", url: str = "url", *, min_
     base = pages.withColumns({"__host": host_of(F.col(url)), "__page": F.col(page)})
     slim = base.select(F.col("__host").alias("host"), F.col("__page").alias("html"))
     wrappers = templates(slim, salts)
-    fixed = constants(slim, wrappers, min_titles, min_share)
+    fixed = constants(slim, wrappers, min_share)
     wrappers = store(wrappers.join(fixed, "host", "left").select(F.col("host").alias("__h"), F.col("tree").alias("__tree"), F.coalesce("fixed", F.array()).alias("__fixed")), "wrappers")
 
     @F.pandas_udf("string")

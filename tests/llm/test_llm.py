@@ -339,6 +339,18 @@ def test_names_and_parts():
     assert html.main_blocks(other) == [story]
 
 
+def test_template_without_titles(spark):
+    page = "{t}<div><ul><li>Home<li>News</ul><p>All about {0} today, part {0}</p><p>Printed by the host</p></div>"
+    title = {"none": "", "one": "<title>Site</title>", "own": "<title>T{0}</title>"}
+    rows = [(f"{k}{n}/{i}", f"http://{k}{n}.example/{i}", page.format(i, t=v.format(i))) for k, v in title.items() for n in (2, 3, 40) for i in range(n)]
+    rows += [("copy", "http://copies.example/1", page.format(1, t=""))] * 4  # true copies are one page
+    got = html.extract_main(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    for r in got:
+        i = r["page_id"].split("/")[-1]
+        want = f"All about {i} today, part {i}" if i != "copy" else "Home\nNews\nAll about 1 today, part 1\nPrinted by the host"
+        assert r["text"] == want, r["page_id"]
+
+
 def test_tree_matching():
     a, b = ["d", ["p"], ["u", ["l"]], ["q"]], ["d", ["u", ["l"], ["m"]], ["q"], ["z"]]
     assert html._match(a, b)[0] == 4
