@@ -81,16 +81,25 @@ def qq_points(df: DataFrame, col: str, points: int = 1000) -> DataFrame:
     k = ranked.withColumns({"first": first, "last": last}).where(F.col("first") <= F.col("last"))
     k = k.withColumn("k", F.explode(F.sequence("first", "last")))
     pos = F.floor(F.col("k") * step) + 1
-    tail = F.pow(F.lit(0.5), F.try_divide(F.lit(1.0), total))
-    median = F.when(pos >= total, tail).when(pos <= 1, 1 - tail).otherwise((pos - 0.3175) / (total + 0.365))
-    return k.select(pos.alias("position"), median.alias("p"), F.col("value").alias("sample")).withColumn(
+    return k.select(pos.alias("position"), _filliben(pos, total).alias("p"), F.col("value").alias("sample")).withColumn(
         "theoretical", dist.norm_ppf("p")
     )
 
 
-def qq_line(points: DataFrame) -> DataFrame:
-    """Least-squares line through the points."""
-    return points.agg(
+def _filliben(pos: Column, total: Column) -> Column:
+    tail = F.pow(F.lit(0.5), F.try_divide(F.lit(1.0), total))
+    return F.when(pos >= total, tail).when(pos <= 1, 1 - tail).otherwise((pos - 0.3175) / (total + 0.365))
+
+
+def qq_line(df: DataFrame, col: str, chunk: int = 1000) -> DataFrame:
+    """Least-squares line through all order statistics; the positions of a tie are dealt in chunks."""
+    ranked = ranked_values(df, [col]).select("value", "n", "below_n", F.col("total_n").alias("total"))
+    start = F.explode(F.sequence(F.col("below_n") + 1, F.col("below_n") + F.col("n"), F.lit(chunk).cast("long")))
+    chunks = ranked.withColumn("start", start).repartition("start")
+    stop = F.least(F.col("start") + (chunk - 1), F.col("below_n") + F.col("n"))
+    every = chunks.select("value", "total", F.explode(F.sequence("start", stop)).alias("pos"))
+    p = every.select(F.col("value").alias("sample"), _filliben(F.col("pos"), F.col("total")).alias("p"))
+    return p.withColumn("theoretical", dist.norm_ppf("p")).agg(
         F.regr_slope("sample", "theoretical").alias("slope"),
         F.regr_intercept("sample", "theoretical").alias("intercept"),
         S.correlation(F.col("sample"), F.col("theoretical")).alias("r"),

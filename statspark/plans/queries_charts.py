@@ -76,7 +76,7 @@ def _(spark, d):
 
 @REG.query("c03_qq_line")
 def _(spark, d):
-    return report(C.qq_line(C.qq_points(ev(spark, d), "value")))
+    return report(C.qq_line(ev(spark, d), "value"))
 
 
 @REG.query(

@@ -1,6 +1,7 @@
 """Feature engineering, models, evaluation and persistence."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -236,6 +237,21 @@ def test_charts(spark, df, pdf):
     assert C.histogram(spark.createDataFrame([(2.0,), (2.0,)], "v double"), "v", 5).first()["n"] == 2
 
 
+def test_qq_line_reads_all_rows(spark):
+    # far values between the thousand evenly spaced positions, and a tie of a third of the rows
+    x = np.concatenate([np.linspace(-3, 3, 3000), np.full(2000, 0.5), np.geomspace(4, 5000, 7)])
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    got = C.qq_line(d, "v", chunk=300).first()
+    n, i = len(x), np.arange(2, len(x))
+    p = np.concatenate([[1 - 0.5 ** (1 / n)], (i - 0.3175) / (n + 0.365), [0.5 ** (1 / n)]])
+    z, s = np.array([NormalDist().inv_cdf(v) for v in p]), np.sort(x)
+    slope, intercept = np.polyfit(z, s, 1)
+    r = np.corrcoef(z, s)[0, 1]
+    assert (got["slope"], got["intercept"], got["r"]) == pytest.approx((slope, intercept, r), rel=1e-6)
+    whole = C.qq_line(d, "v").first()
+    assert whole["slope"] == pytest.approx(slope, rel=1e-6)
+
+
 def test_statistical_analysis_and_sinks(spark, df):
     out = analyses.statistical_analysis(df, "y", "neg", "pos", ["id"])
     assert out["findings"].count() >= 1
