@@ -2,7 +2,7 @@
 
 Base rules count words, symbols, repeated lines and repeated five-word windows of each text. The method then hashes
 normalised lines (lower case, digits to 0, white space to one space), counts the documents of each host that have a
-line, removes lines above the limits, and rejects documents of which too little is left.
+line, removes lines above the limits (``remove_frequent`` gives the texts), and rejects documents of which too little is left.
 """
 
 from __future__ import annotations
@@ -66,11 +66,15 @@ def _norm(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, key: str, host: str, once: bool) -> DataFrame:
-    """(id, host, h, h2, chars): a row per normalised line with a word; ``once``: equal lines of a row give one."""
-    norm = F.array_remove(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _norm), "")
-    lines = docs.select(F.col(key).alias("id"), F.col(host).alias("host"), F.explode(F.array_distinct(norm) if once else norm).alias("line"))
-    chars = F.length(F.translate("line", " ", "")).cast("long")
-    return lines.select("id", "host", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), chars.alias("chars"))
+    """(id, host, t, i, h, h2, chars): a row per normalised line with a word, i from 0; ``once``: equal lines of a row give one, without t and i."""
+    norm = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _norm)
+    ids = [F.col(key).alias("id"), F.col(host).alias("host")]
+    chars = F.length(F.translate("line", " ", "")).cast("long").alias("chars")
+    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), chars]
+    if once:
+        return docs.select(*ids, F.explode(F.array_distinct(F.array_remove(norm, ""))).alias("line")).select("id", "host", *hashes)
+    lines = docs.select(*ids, F.xxhash64(F.col(text)).alias("t"), F.posexplode(norm).alias("i", "line")).where("line <> ''")
+    return lines.select("id", "host", "t", "i", *hashes)
 
 
 def frequent_lines(docs: DataFrame, text: str, key: str, host: str, min_docs: int, min_share: float) -> DataFrame:
@@ -83,26 +87,47 @@ def frequent_lines(docs: DataFrame, text: str, key: str, host: str, min_docs: in
     return joined.where(F.col("n") > F.lit(min_share) * F.col("total")).select(counts["host"], "h", "h2")
 
 
+def remove_frequent(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", *, min_docs: int = 10, min_share: float = 0.002
+) -> DataFrame:
+    """``docs`` with the text without frequent lines, and removed_chars (a column of this name is replaced).
+
+    removed_chars counts what the removed lines hold besides white space. Lines without a word stay. Null texts stay null,
+    a null host is a host of its own, and of rows that repeat a key each loses its own lines. An empty table stays empty.
+    """
+    common = store(frequent_lines(docs, text, key, host, min_docs, min_share), "lines")
+    rows = _lines(docs, text, key, host, once=False)
+    hit = (rows["host"].eqNullSafe(common["host"])) & (rows["h"] == common["h"]) & (rows["h2"] == common["h2"])
+    gone = rows.join(common, hit, "left_semi").groupBy("id", "host", "t").agg(F.collect_set(F.struct("i", "chars")).alias("__gone"))
+    gone = gone.select(F.col("id").alias("__id"), F.col("host").alias("__host"), F.col("t").alias("__t"), "__gone")
+    same = docs[key].eqNullSafe(gone["__id"]) & docs[host].eqNullSafe(gone["__host"]) & (F.xxhash64(docs[text]) == gone["__t"])
+    out = docs.join(gone, same, "left").drop("__id", "__host", "__t")
+    places = F.transform("__gone", lambda x: x["i"])
+    kept = _let(F.split(F.col(text), "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), places), lambda i: F.get(x, i)))
+    return out.withColumns({
+        "removed_chars": F.coalesce(F.aggregate("__gone", F.lit(0).cast("long"), lambda n, x: n + x["chars"]), F.lit(0).cast("long")),
+        text: F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)),
+    }).drop("__gone")
+
+
 def quality(
     docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", *,
-    min_words: int = 10, max_repeat_pct: int = 20, min_docs: int = 10, min_share: float = 0.002, min_left: float = 0.5,
+    min_words: int = 10, max_repeat_pct: int = 20, min_docs: int = 10, min_share: float = 0.002, min_left: float = 0.5, with_text: bool = False,
 ) -> DataFrame:
-    """One row per document: key, base counts, base_failed, removed_chars, kept.
+    """One row per document: key, base counts, base_failed, removed_chars, kept; ``with_text``: and the text without frequent lines.
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat_pct`` percent of them in repeated windows. A
     document that passes is kept if at least ``min_left`` of its word characters are outside frequent lines. Null and
     empty texts fail the base rules; a null host is a host of its own; rows that repeat a key are returned each, count
-    as documents of their own, and add up their frequent lines. An empty table gives no rows.
+    as documents of their own, and lose their own frequent lines. An empty table gives no rows.
     """
-    counted = base_counts(docs.select(F.col(key), F.col(text).alias("__t")), "__t").drop("__t")
-    common = store(frequent_lines(docs, text, key, host, min_docs, min_share), "lines")
-    rows = _lines(docs, text, key, host, once=False)
-    hit = (rows["host"].eqNullSafe(common["host"])) & (rows["h"] == common["h"]) & (rows["h2"] == common["h2"])
-    removed = rows.join(common, hit, "left_semi").groupBy("id").agg(F.sum("chars").alias("gone"))
-    out = counted.join(removed, counted[key].eqNullSafe(removed["id"]), "left").drop("id")
+    slim = docs.select(F.col(key), F.col(host).alias("__source"), F.col(text).alias("__text"))
+    counted = base_counts(slim, "__text")
+    out = remove_frequent(counted, "__text", key, "__source", min_docs=min_docs, min_share=min_share)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    gone = F.least(F.coalesce(F.col("gone"), F.lit(0)), F.col("word_chars"))
+    gone = F.least("removed_chars", "word_chars")
     return out.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("removed_chars"),
         (~failed & (F.col("word_chars") - gone >= F.lit(min_left) * F.col("word_chars"))).alias("kept"),
+        *([F.col("__text").alias(text)] if with_text else []),
     )

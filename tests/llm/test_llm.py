@@ -244,6 +244,19 @@ def test_quality_awkward(spark, docs):
         assert r[11]["n_dup_lines"] == 3 and r[11]["n_repeat_words"] == 14
 
 
+def test_frequent_lines_removed(spark, docs):
+    rows = [(i, f"{words(12, i)}\n\nPage {i % 8} OF  9\n{words(12, i + 50)}", "a" if i < 8 else None) for i in range(16)]
+    rows += [(0, "Page 7 of 9\npage 1 of 9", "a"), (20, "page 3 of 9\nelse", "b"), (21, None, "a"), (22, "  \n", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["source"], r["text"], r["removed_chars"]) for r in linefreq.remove_frequent(frame, min_docs=3, min_share=0.1).collect()}
+    want = {(i, f"{words(12, i)}\n\n{words(12, i + 50)}", s, len("Page1OF9")) for i, _, s in rows[:16]}
+    want |= {(0, "", "a", 16), (20, "page 3 of 9\nelse", "b", 0), (21, None, "a", 0), (22, "  \n", "a", 0)}
+    assert got == {(i, s, x, n) for i, x, s, n in want}
+    out = linefreq.quality(frame, min_docs=3, min_share=0.1, with_text=True).collect()
+    assert {(r["doc_id"], r["text"], r["removed_chars"]) for r in out} == {(i, x, n) for i, x, _, n in want} and len(out) == len(rows)
+    assert linefreq.remove_frequent(docs, min_docs=1, min_share=0.0).count() == docs.count()
+
+
 def test_mix(spark, docs):
     d = docs.withColumn("domain", F.lit(None).cast("string"))
     plan = mixing.plan_mix(d, budget_share=0.5, max_epochs=2)
