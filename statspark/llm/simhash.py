@@ -228,8 +228,18 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each component, the one with the smallest key; rows that repeat that key keep one row."""
-    found = near_duplicates(docs, text, key, shingle, radius)
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key])
+    """One document of each component of near fingerprints: the one with the smallest key, null keys last.
 
+    Rows are told apart by key and text: different texts under one key are documents of their own, as are those with a null
+    key, and rows that repeat both keep one row. Null, empty and wordless texts are one component. An empty table stays empty.
+    """
+    marks = {"__h": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)}
+    prints = add_fingerprint(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "t", shingle)
+    row = F.struct(F.col("id").isNull().alias("late"), "id", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("h2"))
+    distinct = store(prints.select("fp", row.alias("row")).groupBy("fp").agg(F.min("row").alias("row")), "distinct")
+    comp = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius))
+    named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select(F.coalesce("component", "fp").alias("c"), "row")
+    first = store(named.groupBy("c").agg(F.min("row").alias("row")).select("row.id", "row.h", "row.h2"), "first")
+    rows = docs.withColumns(marks)
+    same = rows[key].eqNullSafe(first["id"]) & (rows["__h"] == first["h"]) & (rows["__h2"] == first["h2"])
+    return rows.join(first, same, "left_semi").dropDuplicates([key, "__h", "__h2"]).drop(*marks)

@@ -170,6 +170,16 @@ def test_near_duplicates_awkward(docs):
     assert len(kept) == len(set(kept)) and 5 not in kept
 
 
+def test_keep_one_of_each_component(spark):
+    a, b, c, d = (words(60, 300 + k) for k in range(4))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c), (2, c), (3, None), (4, ""), (None, " "), (None, d)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # every text is a component; keys come before null keys
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in got)) == sorted([(0, a), (0, b), (1, c), (1, d), (3, "")])
+    by = {simhash.fingerprint(r["text"]) for r in got}
+    assert by == {simhash.fingerprint(t) for _, t in rows} and len(by) == len(got)
+
+
 def brute_coverage(item, doc, min_match):
     a, b = decontaminate.normal_words(item), decontaminate.normal_words(doc)
     min_match = min(min_match, max(1, len(a)))
