@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from statspark.operators import features as X
@@ -147,8 +146,8 @@ def _(spark, d):
 
 @REG.query("m23_tune")
 def _(spark, d):
-    train, _test = split(spark, d)
-    name = "Logistic Regression"
+    train, test = split(spark, d)
+    name = M.best_model(M.compare_classifiers(train, test, OC_NUM, OC_CAT)).name
     _, scores = M.tune(train, OC_NUM, OC_CAT, ["o_orderkey"], name, M.default_classifiers(train.count())[name])
     return report(scores)
 
@@ -186,28 +185,13 @@ def _(spark, d):
     return report(M.scored(model, encode(test)).select("o_orderkey", "score"))
 
 
-def small_regressors():
-    plain = {"standardization": False}
-    return {
-        "Ridge": LinearRegression(regParam=1e-3, elasticNetParam=0.0, **plain),
-        "Lasso": LinearRegression(regParam=0.5, elasticNetParam=1.0, **plain),
-        "ElasticNet": LinearRegression(regParam=0.5, elasticNetParam=0.5, **plain),
-        "Huber": LinearRegression(loss="huber", epsilon=1.35, maxIter=20, **plain),
-        "Random Forest": RandomForestRegressor(numTrees=10, maxDepth=5, seed=42),
-    }
-
-
-PART_RATIO = [("price_per_size", "p_retailprice", "p_size")]
-PART_BAND = [("size_band", "p_size", [0, 10, 25, 50])]
-
-
 @REG.query("m24_compare_regressors")
 def _(spark, d):
     li = table(spark, d, "lineitem")
     run = M.compare_regressors(
         li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"],
         ["l_orderkey", "l_linenumber", "l_partkey"], ratios=[("q_tax", "l_quantity", "l_tax")],
-        bands=[("q_band", "l_quantity", [0, 10, 25, 50])], models=small_regressors(),
+        bands=[("q_band", "l_quantity", [0, 10, 25, 50])],
     )
     return report(M.regression_table(spark, run), 4)
 
@@ -215,11 +199,8 @@ def _(spark, d):
 @REG.query("m29_multi_target")
 def _(spark, d):
     part = table(spark, d, "part")
-    models = {k: v for k, v in small_regressors().items() if k in ("Ridge", "Random Forest")}
-    out = M.multi_target_summary(
-        part, ["p_retailprice", "p_size"], ["p_size", "p_retailprice"], ["p_type", "p_brand"], ["p_partkey"],
-        models=models, routes=("Basic", "PCA"),
-    )
+    # no derived columns: each of them would hold one of the targets
+    out = M.multi_target_summary(part, ["p_retailprice", "p_size"], ["p_size", "p_retailprice"], ["p_type", "p_brand"], ["p_partkey"])
     return report(out, 4)
 
 

@@ -288,3 +288,31 @@ def test_violin_groups_integrate_to_one(df):
         # the curve is cut at the ends of the data, so a little mass lies outside
         assert 0.8 < np.trapezoid(g.density, g.x) <= 1.01
         assert (g.q1 <= g["median"]).all() and (g["median"] <= g.q3).all()
+
+
+def test_model_queries_fit_everything(spark, monkeypatch):
+    from statspark.plans import queries_models as Q
+
+    class Stop(Exception):
+        pass
+
+    def caught(name, query):
+        calls = []
+
+        def record(*args, **options):
+            calls.append((args, options))
+            raise Stop
+
+        monkeypatch.setattr(M, name, record)
+        with pytest.raises(Stop):
+            Q.REG.queries[query](spark, "/root/testdata/sf0.001")
+        return calls[0]
+
+    for query in ("m24_compare_regressors", "m29_multi_target"):
+        options = caught("compare_regressors", query)[1]
+        assert options.get("models") is None and "routes" not in options
+    # the grid of the model that won, not always the logistic one
+    won = M.Fitted("Gradient Boosting", None, auc=0.9)
+    monkeypatch.setattr(M, "compare_classifiers", lambda *a, **k: {"Logistic Regression": M.Fitted("Logistic Regression", None, auc=0.8), won.name: won})
+    args, options = caught("tune", "m23_tune")
+    assert args[4] == won.name and len(M.tuning_grid(won.name, args[5], 100)) == 81 and "grid" not in options
