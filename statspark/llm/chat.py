@@ -27,15 +27,20 @@ _LOOSE = 64
 
 # The control strings of the default template.
 CONTROLS = ("[INST]", "[/INST]", "[ANS]", "</s>", "[ROLE]", "[SAYS]", "[/ROLE]")
-_CONTROL = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROLS)) + ")")
+_MARK = re.compile("|".join(map(re.escape, CONTROLS)))
+_CONTROL = re.compile(rf"(\\*)({_MARK.pattern})")
 
 
 def escape(text: str) -> str:
     """Control strings get a backslash in front, and backslashes that stand there are doubled."""
+    if not _MARK.search(text):
+        return text
     return _CONTROL.sub(lambda m: m[1] * 2 + "\\" + m[2], text)
 
 
 def unescape(text: str) -> str:
+    if not _MARK.search(text):
+        return text
     return _CONTROL.sub(lambda m: m[1][: len(m[1]) // 2] + m[2], text)
 
 
@@ -55,14 +60,14 @@ def render(turns: Iterable[Turn]) -> str:
 def parse(formatted: str) -> list[Turn]:
     """The turns of a text that ``render`` made. A mark is a control string without a backslash in front."""
     turns, role, begin = [], "", 0
-    for m in _CONTROL.finditer(formatted):
-        if m[1]:
+    for m in _MARK.finditer(formatted):
+        if formatted[m.start() - 1 : m.start()] == "\\":
             continue
-        if m[2] in ("[INST]", "[ANS]"):
-            role, begin = {"[INST]": "user", "[ANS]": "assistant"}[m[2]], m.end() + 1
-        elif m[2] == "[ROLE]":
+        if m[0] in ("[INST]", "[ANS]"):
+            role, begin = {"[INST]": "user", "[ANS]": "assistant"}[m[0]], m.end() + 1
+        elif m[0] == "[ROLE]":
             begin = m.end() + 1
-        elif m[2] == "[SAYS]":
+        elif m[0] == "[SAYS]":
             role, begin = unescape(formatted[begin : m.start() - 1]), m.end() + 1
         else:
             turns.append((role, unescape(formatted[begin : m.start() - 1])))
