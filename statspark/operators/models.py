@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -26,10 +25,12 @@ from pyspark.sql import functions as F
 
 from statspark.functions import scalars as S
 from statspark.operators import features as X
+from statspark.operators import fits
 from statspark.operators.rank import exact_quantiles, ranked_values
 from statspark.operators.regression import ols_hc3
 from statspark.operators.sampling import key_bucket, stratified_flags, train_test_split
-from statspark.sources.tables import as_records
+from statspark.sources.models import save_model
+from statspark.sources.tables import as_records, write_result
 
 
 @contextmanager
@@ -224,20 +225,23 @@ def compare_classifiers(
     categorical: Sequence[str],
     models: Mapping[str, Estimator] | None = None,
     seed: int = 42,
+    parallelism: int = 3,
 ) -> dict[str, Fitted]:
     """Fit each classifier on one shared preprocessing and measure exact test AUC and the confusion counts.
 
-    ``train`` and ``test`` carry a 0/1 ``label`` column. ``metrics`` holds tn, fp, fn, tp.
+    ``train`` and ``test`` carry a 0/1 ``label`` column. ``metrics`` holds tn, fp, fn, tp. ``parallelism`` fits run at a time.
     """
-    out = {}
     cols = ["label", *numeric, *categorical]
     with kept(train.select(*cols)) as base, kept(test.select(*cols)) as held:
         pre = X.fit_preprocessor(base, numeric, categorical)
-        with kept(pre.transform(base).select("label", "features")) as ready:
-            for name, est in (models or default_classifiers(ready.count(), seed)).items():
-                fitted = est.copy()
-                fitted.setFeaturesCol("features").setLabelCol("label")
-                model = PipelineModel([*pre.stages, fitted.fit(ready)])
+        n = base.count()
+        with kept(fits.packed(pre.transform(base).select("label", "features"), n)) as ready:
+            candidates = models or default_classifiers(n, seed)
+
+            def fit(name: str) -> Fitted:
+                one = candidates[name].copy()
+                one.setFeaturesCol("features").setLabelCol("label")
+                model = PipelineModel([*pre.stages, one.fit(ready)])
                 with kept(scored(model, held).select("score", "label", "prediction")) as judged:
                     cells = judged.agg(
                         *[
@@ -246,8 +250,10 @@ def compare_classifiers(
                         ]
                     )
                     auc = roc_auc(judged, "score", "label").first()["auc"]
-                    out[name] = Fitted(name, model, auc, cells.first().asDict())
-    return out
+                    return Fitted(name, model, auc, cells.first().asDict())
+
+            jobs = {name: lambda name=name: fit(name) for name in candidates}
+            return fits.run_pool(jobs, parallelism, lambda name: fits.cost(candidates[name]))
 
 
 def comparison_table(spark, results: Mapping[str, Fitted]) -> DataFrame:
@@ -314,6 +320,15 @@ def tuning_grid(name: str, estimator: Estimator, n_train: int) -> list:
     return b.build()
 
 
+def _families(grid: Sequence[dict], nested: str | None) -> list[list[int]]:
+    """Indices of grid points that differ in the ensemble's size only, in the order of the grid."""
+    groups: dict[tuple, list[int]] = {}
+    for i, params in enumerate(grid):
+        rest = tuple(sorted((p.name, v) for p, v in params.items() if p.name != nested))
+        groups.setdefault(rest if nested else (i,), []).append(i)
+    return list(groups.values())
+
+
 def tune(
     train: DataFrame,
     numeric: Sequence[str],
@@ -323,40 +338,73 @@ def tune(
     estimator: Estimator,
     grid: list | None = None,
     folds: int = 5,
-    parallelism: int = 4,
+    parallelism: int = 8,
     seed: int = 42,
+    resume: str | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Cross-validated grid search on AUC; folds come from the row key. Returns best model and scores.
 
-    Medians, scales and levels are fitted anew on the training rows of each fold.
+    Medians, scales and levels are fitted anew on the training rows of each fold. Grid points of a tree ensemble that differ
+    in its size only share one fit, of the largest; the smaller ones are scored as its first trees (for boosting that equals
+    a fit of its own). All folds' fits go through one pool. With a ``resume`` folder the scores of each finished fit are kept
+    there and a restart with the same arguments goes on from them.
     """
+    spark = train.sparkSession
     fold = key_bucket(keys, seed + 1, folds).cast("int").alias("fold")
     estimator = estimator.copy()
     estimator.setFeaturesCol("features").setLabelCol("label")
-    judge = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
-    with kept(train.select("label", fold, *numeric, *categorical)) as base, ThreadPool(parallelism) as pool:
-        grid = grid or tuning_grid(name, estimator, base.count())
+    nested = fits.NESTED.get(type(estimator).__name__)
+    with kept(train.select("label", fold, *numeric, *categorical)) as base:
+        n = base.count()
+        grid = grid or tuning_grid(name, estimator, n)
+        families = _families(grid, nested)
+        sides, jobs, weight = [], {}, {}
+
+        def judge(k: int, family: list[int]) -> list[float]:
+            ready, unseen = sides[k]
+            sizes = [next((v for p, v in grid[i].items() if p.name == nested), None) for i in family]
+            largest = family[max(range(len(family)), key=lambda j: sizes[j] or 0)]
+            model = estimator.fit(ready, grid[largest])
+            if len(family) == 1:
+                return [_auc(model.transform(unseen), "rawPrediction")]
+            with kept(fits.staged_scores(model, unseen, sizes)) as staged:
+                return [_auc(staged.select("label", F.col("staged")[j].alias("score")), "score") for j in range(len(family))]
+
+        try:
+            for k in range(folds):
+                rest, held = base.where(F.col("fold") != k), base.where(F.col("fold") == k)
+                pre = X.fit_preprocessor(rest, numeric, categorical)
+                pair = [fits.packed(pre.transform(rows).select("label", "features"), n).persist(StorageLevel.MEMORY_AND_DISK) for rows in (rest, held)]
+                sides.append(pair)
+                for g, family in enumerate(families):
+                    path = f"{resume.rstrip('/')}/fold={k}/family={g}" if resume else None
+                    jobs[f"{k}/{g}"] = lambda k=k, family=family, path=path: fits.kept_scores(spark, path, lambda: judge(k, family))
+                    weight[f"{k}/{g}"] = fits.cost(estimator.copy(grid[family[-1]]))
+            done = fits.run_pool(jobs, parallelism, weight.get)
+        finally:
+            for df in (df for pair in sides for df in pair):
+                df.unpersist()
         sums = [0.0] * len(grid)
-        for k in range(folds):
-            rest, held = base.where(F.col("fold") != k), base.where(F.col("fold") == k)
-            pre = X.fit_preprocessor(rest, numeric, categorical)
-            with kept(pre.transform(rest).select("label", "features")) as ready, \
-                    kept(pre.transform(held).select("label", "features")) as unseen:
-                ready.count()
-                scores = pool.map(lambda params: judge.evaluate(estimator.fit(ready, params).transform(unseen)), grid)
-            sums = [a + b for a, b in zip(sums, scores)]
+        for job, scores in done.items():
+            for i, score in zip(families[int(job.split("/")[1])], scores):
+                sums[i] += score
         best = max(range(len(grid)), key=lambda i: sums[i])
         pre = X.fit_preprocessor(base, numeric, categorical)
-        with kept(pre.transform(base).select("label", "features")) as ready:
+        with kept(fits.packed(pre.transform(base).select("label", "features"), n)) as ready:
             chosen = estimator.fit(ready, grid[best])
     rows = [
         (i, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), a / folds)
         for i, (m, a) in enumerate(zip(grid, sums))
     ]
-    table = train.sparkSession.createDataFrame(rows, "ordinal int, params string, auc double")
+    table = spark.createDataFrame(rows, "ordinal int, params string, auc double")
     return PipelineModel([*pre.stages, chosen]), table
 
 
+def _auc(df: DataFrame, score: str) -> float:
+    judge = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol=score, metricName="areaUnderROC", numBins=0)
+    return judge.evaluate(df)
+
+
 def predict(model: PipelineModel, data, spark=None, labels: Sequence = (0, 1)) -> DataFrame:
     """Score a DataFrame, a dict or a list of dicts: predicted label and positive probability."""
     if not isinstance(data, DataFrame) and spark is None:
@@ -407,6 +455,8 @@ class RegressionRun:
     top_features: DataFrame
     pca_table: DataFrame
     ols: DataFrame
+    ols_terms: DataFrame
+    selected: list[str]
 
     @property
     def best(self) -> Fitted:
@@ -425,11 +475,16 @@ def compare_regressors(
     routes: Sequence[str] = ("Basic", "Feature Selection", "PCA", "Domain Features"),
     k: int = 20,
     seed: int = 42,
+    parallelism: int = 8,
+    resume: str | None = None,
 ) -> RegressionRun:
     """Every regressor on every feature route, each keeping its own fitted model.
 
     The target is log1p-transformed when its profile says so; the split hangs on
-    the row key, so all routes and the later threshold sweep share it.
+    the row key, so all routes and the later threshold sweep share it. Training and
+    test rows are prepared once per route; the fits of all routes go through one
+    pool, the long ones first. With a ``resume`` folder every fitted model is kept
+    there and a restart with the same arguments goes on from them.
     """
     rows = df.where(F.col(target).isNotNull())
     log_target = bool(X.target_profile(rows, target, keys, seed).first()["use_log1p"])
@@ -437,44 +492,60 @@ def compare_regressors(
     used = list(dict.fromkeys([*keys, target, *numeric, *categorical]))
     train, test = train_test_split(rows.select(*used, y.alias("label")), keys, 0.2, seed)
     options = {"power": True, "outlier_z": 3.0, "max_categories": 10}
-    results: dict[str, Fitted] = {}
+    held_sets: list[DataFrame] = []
+
+    def hold(data: DataFrame, n: int) -> DataFrame:
+        held_sets.append(fits.packed(data, n).persist(StorageLevel.MEMORY_AND_DISK))
+        return held_sets[-1]
+
     with kept(train) as train:
-        basic = X.fit_preprocessor(train, numeric, categorical, **options)
-        ready = basic.transform(train)
-        names = X.vector_names(ready)
-        picked = X.selector_stage(min(k, len(names))).fit(ready)
-        pca, pca_table = X.fit_pca(ready)
-        chosen = [names[i] for i in picked.selectedFeatures]
-        spread = ready.select("label", vector_to_array("features").alias("v")).select(
-            "label", *[F.col("v")[i].alias(names[i]) for i in picked.selectedFeatures]
-        )
-        top = X.f_regression(spread, chosen, "label")
-        _, ols = ols_hc3(spread, chosen, "label")
-        n_train = ready.count()
-        for route in routes:
-            if route == "Basic":
-                stages, data, vector = [], ready, "features"
-            elif route == "Feature Selection":
-                stages, data, vector = [picked], picked.transform(ready), "selected"
-            elif route == "PCA":
-                stages, data, vector = [pca], pca.transform(ready), "components"
-            else:
-                # derived columns come before the preprocessing, where the names still exist
-                derive = X.domain_stage(ratios, bands)
-                made = [r[0] for r in ratios] + [b[0] for b in bands]
-                own = X.fit_preprocessor(derive.transform(train), [*numeric, *made], categorical, **options)
-                chain = PipelineModel([derive, *own.stages])
-                stages, data, vector = None, chain.transform(train), "features"
-            with kept(data.select("label", vector)) as fit_on:
-                for name, est in (models or default_regressors(n_train, seed)).items():
-                    one = est.copy()
-                    one.setFeaturesCol(vector).setLabelCol("label")
-                    head = chain.stages if stages is None else [*basic.stages, *stages]
-                    model = PipelineModel([*head, one.fit(fit_on)])
-                    m = regression_metrics(model.transform(test), "label", "prediction", log_target).first().asDict()
+        n_train = train.count()
+        candidates = models or default_regressors(n_train, seed)
+        try:
+            basic = X.fit_preprocessor(train, numeric, categorical, **options)
+            ready, unseen = hold(basic.transform(train), n_train), hold(basic.transform(test), n_train)
+            names = X.vector_names(ready)
+            picked = X.selector_stage(min(k, len(names))).fit(ready)
+            pca, pca_table = X.fit_pca(ready)
+            chosen = [names[i] for i in picked.selectedFeatures]
+            spread = ready.select("label", vector_to_array("features").alias("v")).select(
+                "label", *[F.col("v")[i].alias(names[i]) for i in picked.selectedFeatures]
+            )
+            top = X.f_regression(spread, chosen, "label")
+            terms, ols = ols_hc3(spread, chosen, "label")
+            jobs, weight = {}, {}
+            for route in routes:
+                if route == "Basic":
+                    head, vector, sides = basic.stages, "features", (ready, unseen)
+                elif route == "Feature Selection":
+                    head, vector, sides = [*basic.stages, picked], "selected", (picked.transform(ready), picked.transform(unseen))
+                elif route == "PCA":
+                    head, vector, sides = [*basic.stages, pca], "components", (pca.transform(ready), pca.transform(unseen))
+                else:
+                    # derived columns come before the preprocessing, where the names still exist
+                    derive = X.domain_stage(ratios, bands)
+                    made = [r[0] for r in ratios] + [b[0] for b in bands]
+                    own = X.fit_preprocessor(derive.transform(train), [*numeric, *made], categorical, **options)
+                    chain = PipelineModel([derive, *own.stages])
+                    head, vector, sides = chain.stages, "features", (chain.transform(train), chain.transform(test))
+                fit_on, judge_on = (hold(data.select("label", vector), n_train) for data in sides)
+                for name, est in candidates.items():
                     full = f"{route} - {name}"
-                    results[full] = Fitted(full, model, metrics=m)
-    return RegressionRun(results, log_target, test, top, pca_table, ols)
+                    path = f"{resume.rstrip('/')}/{full.replace(' ', '_')}" if resume else None
+
+                    def fit(full=full, est=est, head=head, vector=vector, fit_on=fit_on, judge_on=judge_on, path=path) -> Fitted:
+                        one = est.copy()
+                        one.setFeaturesCol(vector).setLabelCol("label")
+                        model = fits.kept_model(path, lambda: PipelineModel([*head, one.fit(fit_on)]))
+                        predicted = model.stages[-1].transform(judge_on)
+                        return Fitted(full, model, metrics=regression_metrics(predicted, "label", "prediction", log_target).first().asDict())
+
+                    jobs[full], weight[full] = fit, fits.cost(est)
+            results = fits.run_pool(jobs, parallelism, weight.get)
+        finally:
+            for data in held_sets:
+                data.unpersist()
+    return RegressionRun(results, log_target, test, top, pca_table, ols, terms, chosen)
 
 
 def regression_table(spark, run: RegressionRun) -> DataFrame:
@@ -495,21 +566,49 @@ def above_median_sweep(df: DataFrame, run: RegressionRun, target: str) -> DataFr
     return threshold_sweep(pred.select(y.alias("y"), "prediction"), "prediction", "y")
 
 
+@dataclass
+class TargetRuns:
+    """Everything that a run over several targets found: fits, sweeps, and one summary row per target."""
+
+    runs: dict[str, RegressionRun]
+    sweeps: dict[str, DataFrame]
+    summary: DataFrame
+
+    def save(self, folder: str) -> dict[str, str]:
+        """Store every fitted pipeline and table; returns name -> path. Models load back with ``load_model``."""
+        spark, root, paths = self.summary.sparkSession, folder.rstrip("/"), {}
+        for target, run in self.runs.items():
+            for name, fitted in run.results.items():
+                label = f"{target}/models/{name.replace(' ', '_')}"
+                paths[label] = save_model(fitted.model, f"{root}/{label}")
+            tables = {
+                "metrics": regression_table(spark, run), "features": run.top_features, "variance": run.pca_table, "ols": run.ols,
+                "ols_terms": run.ols_terms, "sweep": self.sweeps[target],
+            }
+            for name, table in tables.items():
+                paths[f"{target}/{name}"] = write_result(table, f"{root}/{target}/{name}", "parquet")
+        paths["summary"] = write_result(self.summary, f"{root}/summary", "parquet")
+        return paths
+
+
+def multi_target(
+    df: DataFrame, targets: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], keys: Sequence[str], resume: str | None = None, **options
+) -> TargetRuns:
+    """``compare_regressors`` for each target on the other columns, and the threshold sweep of its best model."""
+    runs, sweeps, rows = {}, {}, []
+    for target in targets:
+        own = f"{resume.rstrip('/')}/{target}" if resume else None
+        run = compare_regressors(df, target, [c for c in numeric if c != target], categorical, keys, resume=own, **options)
+        sweep = above_median_sweep(df, run, target)
+        best, f1, ols = run.best, best_threshold(sweep).first()["f1"], run.ols.first()
+        runs[target], sweeps[target] = run, sweep
+        rows.append((target, best.name, best.metrics["r2"], best.metrics["rmse"], best.metrics["mae"], f1, ols["aic"], ols["bic"], run.log_target))
+    schema = "target string, best_model string, r2 double, rmse double, mae double, f1 double, aic double, bic double, log_target boolean"
+    return TargetRuns(runs, sweeps, df.sparkSession.createDataFrame(rows, schema))
+
+
 def multi_target_summary(
     df: DataFrame, targets: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], keys: Sequence[str], **options
 ) -> DataFrame:
     """One summary row per target: best model, fit, best F1, AIC, BIC, whether log-transformed."""
-    rows = []
-    for target in targets:
-        run = compare_regressors(df, target, [c for c in numeric if c != target], categorical, keys, **options)
-        best = run.best
-        f1 = best_threshold(above_median_sweep(df, run, target)).first()["f1"]
-        ols = run.ols.first()
-        rows.append(
-            (target, best.name, best.metrics["r2"], best.metrics["rmse"], best.metrics["mae"], f1, ols["aic"], ols["bic"], run.log_target)
-        )
-    return df.sparkSession.createDataFrame(
-        rows,
-        "target string, best_model string, r2 double, rmse double, mae double, f1 double, aic double, bic double, "
-        "log_target boolean",
-    )
+    return multi_target(df, targets, numeric, categorical, keys, **options).summary

@@ -72,12 +72,14 @@ def classification_analysis(
         "confusion": models.confusion_matrix(on_test, "label", "prediction", [0.0, 1.0]),
         "auc": models.roc_auc(on_test.select("score", "label"), "score", "label"),
         "roc": models.roc_points(on_test.select("score", "label"), "score", "label"),
-        "importance": models.feature_importance(best.model, train),
+        "importance": models.feature_importance(tuned, train),
+        "reports": models.model_reports(results, test),
+        "rocs": models.model_roc(results, test),
     }
 
 
 def regression_analysis(
     df: DataFrame, targets: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], keys: Sequence[str], **options
-) -> DataFrame:
-    """All regressors on all feature routes for several targets: one summary row per target."""
-    return models.multi_target_summary(df, targets, numeric, categorical, keys, **options)
+) -> models.TargetRuns:
+    """All regressors on all feature routes for several targets: fitted models, selected features, variance, sweeps, summary."""
+    return models.multi_target(df, targets, numeric, categorical, keys, **options)

@@ -6,7 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from statspark.functions import scalars as S
 from statspark.operators import chartdata as C
 from statspark.operators import features as X
+from statspark.operators import fits
 from statspark.operators import models as M
 from statspark.operators import profile as P
 from statspark.plans import analyses
@@ -274,6 +275,58 @@ def test_dense_network_learns(spark, df):
     assert M.roc_auc(out, "score", "label").first()["auc"] > 0.75
 
 
+def test_staged_scores_equal_separate_fits(spark, df):
+    rows = X.fit_preprocessor(df, ["x", "w"], ["f"]).transform(M.labelled(df, "y", "pos")).select("label", "features").coalesce(1).persist()
+    for share in (1.0, 0.8):
+        est = GBTClassifier(maxIter=9, maxDepth=3, stepSize=0.1, seed=7, subsamplingRate=share)
+        staged = fits.staged_scores(est.fit(rows), rows, [3, 6, 9])
+        for j, size in enumerate((3, 6, 9)):
+            alone = est.copy({est.maxIter: size}).fit(rows).transform(rows)
+            want = M._auc(alone, "rawPrediction")
+            assert M._auc(staged.select("label", F.col("staged")[j].alias("s")), "s") == pytest.approx(want, abs=1e-12)
+    forest = RandomForestClassifier(numTrees=8, maxDepth=6, seed=7).fit(rows)
+    got = fits.staged_scores(forest, rows, [1, 8], keep=("features",)).collect()
+    whole = M.scored(forest, rows).select("features", "score").collect()
+    assert [r["staged"][1] / 8 for r in got] == pytest.approx([r["score"] for r in whole])
+    single = forest.trees[0]
+    assert [r["staged"][0] for r in got[:40]] == pytest.approx([single.predictProbability(r["features"])[1] for r in got[:40]])
+
+
+def test_tuning_goes_on_after_a_restart(spark, df, monkeypatch):
+    train = M.labelled(df, "y", "pos")
+    est = GBTClassifier(maxDepth=2, seed=3)
+    grid = ParamGridBuilder().addGrid(est.maxIter, [2, 4]).addGrid(est.stepSize, [0.1, 0.3]).build()
+    folder, fitted = scratch_dir(spark, "resume"), []
+    fit = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, *a, **k: fitted.append(1) or fit(self, *a, **k))
+    _, first = M.tune(train, ["x", "w"], ["f"], ["id"], "Gradient Boosting", est, grid, folds=2, resume=folder)
+    assert len(fitted) == 2 * 2 + 1  # four grid points are two fits a fold
+    _, again = M.tune(train, ["x", "w"], ["f"], ["id"], "Gradient Boosting", est, grid, folds=2, resume=folder)
+    assert len(fitted) == 2 * 2 + 2 and sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+    _, alone = M.tune(train, ["x", "w"], ["f"], ["id"], "Gradient Boosting", est, grid[:1], folds=2)
+    assert alone.first()["auc"] == pytest.approx(first.orderBy("ordinal").first()["auc"])
+
+
+def test_target_bundle(spark, df, monkeypatch):
+    src = df.na.drop().withColumn("t", F.col("x") * 2 + F.col("id") % 3)
+    models = {"Ridge": LinearRegression(regParam=1e-6)}
+    options = {"models": models, "routes": ("PCA",), "resume": scratch_dir(spark, "resume")}
+    found = M.multi_target(src, ["t"], ["x", "t"], ["f"], ["id"], **options)
+    paths = found.save(scratch_dir(spark, "bundle"))
+    assert {"t/variance", "t/sweep", "t/ols_terms", "t/models/PCA_-_Ridge", "summary"} <= set(paths)
+    run = found.runs["t"]
+    again = M.regression_metrics(store.load_model(paths["t/models/PCA_-_Ridge"]).transform(run.test), "label", "prediction").first()
+    assert again["r2"] == pytest.approx(run.results["PCA - Ridge"].metrics["r2"]) and IO.read_table(spark, paths["summary"]).count() == 1
+    monkeypatch.setattr(LinearRegression, "fit", None)  # everything is there already
+    same = M.multi_target(src, ["t"], ["x", "t"], ["f"], ["id"], **options)
+    assert same.runs["t"].best.metrics["r2"] == pytest.approx(run.best.metrics["r2"])
+
+
+def test_pool_keeps_order():
+    assert fits.run_pool({"a": lambda: 1, "b": lambda: 2}, 4, {"a": 1, "b": 9}.get) == {"a": 1, "b": 2} and fits.run_pool({}, 4) == {}
+    assert fits.cost(GBTClassifier(maxIter=100, maxDepth=5)) > fits.cost(RandomForestClassifier(numTrees=100, maxDepth=15)) > fits.cost(LinearRegression())
+
+
 def test_multi_target_summary(spark, df):
     src = df.na.drop().withColumn("t", F.col("x") * 2 + F.col("id") % 3)
     models = {"Ridge": LinearRegression(regParam=1e-6)}
