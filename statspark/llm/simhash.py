@@ -212,15 +212,16 @@ def near_duplicates(
     """(key, fingerprint, component_id) for every row of ``docs``.
 
     Fingerprints within ``radius`` bits are linked, and component_id is the smallest key reachable. Null, empty and
-    wordless texts have fingerprint zero and are linked like any other. Rows with a null key are no representatives;
-    a component of such rows only has a null id. Repeated rows are all returned; an empty table gives no rows.
+    wordless texts have fingerprint zero and are linked like any other. Rows with a null key link others like any row, but
+    give no id; a component of such rows only has a null id. Repeated rows are all returned; an empty table gives no rows.
     """
     prints = store(add_fingerprint(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "t", shingle).select("id", "fp"), "prints")
-    distinct = store(prints.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    known = distinct.where(F.col("rep").isNotNull())
-    comp = components(links(known, radius, max_shard=max_shard))
-    named = known.join(comp, known["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = store(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    comp = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius, max_shard=max_shard))
+    named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     named = store(named, "named")
+    least = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    named = store(named.join(least, "c").select("fp", "component_id"), "ids")
     return (
         prints.join(named, "fp", "left")
         .select(F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
