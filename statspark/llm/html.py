@@ -28,11 +28,15 @@ from pyspark.sql import functions as F
 
 from statspark.llm.common import small_batches, store
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_IN_TAG = re.compile(r"[^>=]*")
+_VALUE = re.compile(r"=\s*")
+#: Nesting beyond this many blocks is flat: deeper blocks stand beside each other. No text is lost.
+DEPTH = 120
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Fixed by HTML: elements without an end tag, elements whose content is raw text, and those that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select".split())
+RAW = frozenset("script style textarea title template iframe select".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -99,28 +103,78 @@ def _traits(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     return ".".join([tag, *sorted(names)]), boiler, main, bool(marks)
 
 
+class _Scanner:
+    """Tags of a page from left to right, in time linear in its length, however broken they are.
+
+    A tag ends at the first ``>`` outside quoted values. A quote without an end is a character like others; where a tag's
+    end would lie beyond the page because of quotes, quotes count no more from there on. ``<`` without any ``>`` after it is text.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.last = {c: text.rfind(c) for c in ">\"'"}
+        self.quotes = True
+
+    def _end(self, at: int) -> int:
+        """Position after the ``>`` that ends the tag whose attributes start at ``at``."""
+        text = self.text
+        first = text.index(">", at)
+        while self.quotes:
+            at = _IN_TAG.match(text, at).end()
+            if at == len(text):
+                self.quotes = False
+                break
+            if text[at] == ">":
+                return at + 1
+            at = _VALUE.match(text, at).end()
+            quote = text[at : at + 1]
+            if quote and quote in "\"'" and at < self.last[quote]:
+                at = text.index(quote, at + 1) + 1
+        return first + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether an end tag, name or None, attributes) of the next markup from ``at``."""
+        text = self.text
+        while True:
+            start = text.find("<", at)
+            if start < 0 or start > self.last[">"]:
+                return None
+            if text.startswith("<!--", start):
+                close = text.find("-->", start + 4)
+                return start, (close + 3 if close >= 0 else len(text)), False, None, ""
+            if text[start + 1] in "!?":
+                return start, text.index(">", start) + 1, False, None, ""
+            ends = text[start + 1] == "/"
+            name = _NAME.match(text, start + 1 + ends)
+            if name:
+                end = self._end(name.end())
+                return start, end, ends, name[0], text[name.end() : end - 1]
+            at = start + 1
+
+
 def parse(page: str | None) -> tuple[Node, str]:
-    """The block tree of a page, and its title; anything is accepted, as browsers do."""
+    """The block tree of a page, and its title; anything is accepted, as browsers do. Blocks nest at most ``DEPTH`` deep."""
     text = page or ""
     root = Node("#", "#")
     stack, title, at, end = [root], "", 0, len(text)
     inner = 0  # open inline elements that are boilerplate
     skips: list[str] = []
-    for m in iter(lambda: _TOKEN.search(text, at), None):
-        if m.start() > at and not inner:
-            stack[-1].parts.append(text[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    scanner = _Scanner(text)
+    for start, stop_at, is_end, tag, attributes in iter(lambda: scanner.next(at), None):
+        if start > at and not inner:
+            stack[-1].parts.append(text[at:start])
+        at = stop_at
         if tag is None:
             continue
         tag = tag.lower()
-        if not m[1] and tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(text, at)
-                stop, after = (close.start(), close.end()) if close else (end, end)
+        if not is_end and tag in RAW:
+            if not attributes.endswith("/"):
+                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
+                stop = close.start() if close else end
                 if tag == "title" and not title:
                     title = text[at:stop]
-                at = after
+                after = text.find(">", stop) + 1
+                at = after or end
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -128,17 +182,17 @@ def parse(page: str | None) -> tuple[Node, str]:
             continue
         if tag not in BLOCK:
             # inline markup is transparent, unless it is marked as boilerplate
-            if m[1]:
+            if is_end:
                 if skips and skips[-1] == tag:
                     skips.pop()
                     inner = len(skips)
-            elif skips or (tag != "a" and (_traits(tag, m[3])[1] or _traits(tag, m[3])[3])):
-                if not m[3].endswith("/") and (not skips or tag == skips[-1]):
+            elif skips or (tag != "a" and (_traits(tag, attributes)[1] or _traits(tag, attributes)[3])):
+                if not attributes.endswith("/") and (not skips or tag == skips[-1]):
                     skips.append(tag)
                     inner = len(skips)
             continue
         skips, inner = [], 0
-        if m[1]:
+        if is_end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -154,7 +208,12 @@ def parse(page: str | None) -> tuple[Node, str]:
                     break
             elif stack[k].tag in SCOPES and not (tag in CLOSES and stack[k].tag in CLOSES[tag]):
                 break
-        node = Node(tag, *_traits(tag, m[3]))
+        node = Node(tag, *_traits(tag, attributes))
+        if tag == "header" and node.boiler and any(n.tag == "article" for n in stack):  # the head of an article, not of the site
+            node.boiler = _traits("div", attributes)[1]
+        if len(stack) > DEPTH:  # beside the block that it would stand in, and marked like that one
+            above = stack.pop()
+            node.boiler, node.named, node.main = node.boiler or above.boiler, node.named or above.named, node.main or above.main
         stack[-1].parts.append(node)
         stack.append(node)
     if at < end and not inner:

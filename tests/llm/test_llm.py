@@ -5,6 +5,7 @@ import os
 import random
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -362,6 +363,38 @@ def test_names_and_parts():
     assert html.main_blocks(other) == [story]
 
 
+def test_broken_and_deep_pages(spark):
+    """Linear time and no lost text, whatever the markup; deep trees also go through alignment and Spark."""
+    deep = "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000 + "<p>after"
+    assert html.main_blocks(deep) == ["deep text", "after"]
+    start = time.time()
+    for piece, end in (("<a ", ""), ("<a x='", ""), ("<p a=\"", ">t"), ("<!", ""), ("<!--", ""), ("<script>", ""), ("< ", "")):
+        html.main_blocks(piece * (1_000_000 // len(piece)) + end)
+    assert time.time() - start < 20
+    assert html.main_blocks("<p title='a>b'>one<p title=\"x>two</p><p>three") == ["one", "two", "three"]
+    assert html.main_blocks("1 < 2 <3> <p>x</p") == ["1 < 2 <3>", "x</p"]
+    assert html.main_blocks("<header>site</header><article><header><h1>Title</h1></header><p>t <math><mi>z</mi></math></p><footer>f</footer></article>") == ["Title", "t z"]
+    assert html.main_blocks("<nav>" + "<div>" * 300 + "<p>menu</p>" + "</div>" * 300 + "</nav><p>text") == ["text"]
+    skeleton = html.skeleton(html.parse(deep)[0])
+    assert html.merge(skeleton, html.skeleton(html.parse(deep + "<ul><li>x")[0]))[0] == "#"
+    rows = [(i, f"http://deep.example/{i}", deep + f" {i}") for i in range(6)]
+    got = html.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"after {i}" for i in range(6)}
+
+
+def test_links_through_null_keys(spark):
+    prints = {1: 0x1, None: 0x7, 2: 0x1F}
+    shown = dict(zip(prints, ("one", "none", "two")))
+    real = simhash.add_fingerprint
+    by_text = {v: prints[k] for k, v in shown.items()}
+    try:
+        simhash.add_fingerprint = lambda docs, text="text", shingle=3, name="fp": docs.withColumn(name, F.coalesce(*[F.when(F.col(text) == t, F.lit(p).cast("long")) for t, p in by_text.items()]))
+        got = simhash.near_duplicates(spark.createDataFrame(list(shown.items()), "doc_id long, text string")).collect()
+    finally:
+        simhash.add_fingerprint = real
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (None, 1), (2, 1)}
+
+
 def test_template_without_titles(spark):
     page = "{t}<div><ul><li>Home<li>News</ul><p>All about {0} today, part {0}</p><p>Printed by the host</p></div>"
     title = {"none": "", "one": "<title>Site</title>", "own": "<title>T{0}</title>"}
