@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from statspark.llm.common import small_batches, store
 
-_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_IN_TAG = re.compile(r"[^>=]*")
-_VALUE = re.compile(r"=\s*")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 #: Nesting beyond this many blocks is flat: deeper blocks stand beside each other. No text is lost.
 DEPTH = 120
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -111,45 +110,26 @@ class _Scanner:
     """
 
     def __init__(self, text: str) -> None:
-        self.text = text
-        self.last = {c: text.rfind(c) for c in ">\"'"}
-        self.quotes = True
-
-    def _end(self, at: int) -> int:
-        """Position after the ``>`` that ends the tag whose attributes start at ``at``."""
-        text = self.text
-        first = text.index(">", at)
-        while self.quotes:
-            at = _IN_TAG.match(text, at).end()
-            if at == len(text):
-                self.quotes = False
-                break
-            if text[at] == ">":
-                return at + 1
-            at = _VALUE.match(text, at).end()
-            quote = text[at : at + 1]
-            if quote and quote in "\"'" and at < self.last[quote]:
-                at = text.index(quote, at + 1) + 1
-        return first + 1
+        self.text, self.last, self.tag = text, text.rfind(">"), _TAG
 
     def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
         """(start, end, whether an end tag, name or None, attributes) of the next markup from ``at``."""
         text = self.text
         while True:
             start = text.find("<", at)
-            if start < 0 or start > self.last[">"]:
+            if start < 0 or start > self.last:
                 return None
+            m = self.tag.match(text, start)
+            if m:
+                return start, m.end(), m[1] == "/", m[2], m[3]
             if text.startswith("<!--", start):
                 close = text.find("-->", start + 4)
                 return start, (close + 3 if close >= 0 else len(text)), False, None, ""
             if text[start + 1] in "!?":
                 return start, text.index(">", start) + 1, False, None, ""
-            ends = text[start + 1] == "/"
-            name = _NAME.match(text, start + 1 + ends)
-            if name:
-                end = self._end(name.end())
-                return start, end, ends, name[0], text[name.end() : end - 1]
             at = start + 1
+            if self.tag is _TAG and _PLAIN_TAG.match(text, start):  # its quotes reach beyond the last end of a tag
+                self.tag, at = _PLAIN_TAG, start
 
 
 def parse(page: str | None) -> tuple[Node, str]:
