@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from statspark.operators import chartdata as C
 from statspark.operators import features as X
 from statspark.operators import models as M
 from statspark.operators import regression as G
@@ -212,6 +215,56 @@ def _(spark, d):
     return report(G.logistic_inference(oc(spark, d), OC_NUM, OC_CAT, "o_orderstatus", "F"))
 
 
+#: With one binary predictor the logistic fit has a closed form: the log odds ratio of the 2x2 table.
+BINARY_LOGIT = (
+    f"{OC}, n AS (SELECT count(*) FILTER (u AND y)::DOUBLE AS a, count(*) FILTER (u AND NOT y)::DOUBLE AS b, count(*) FILTER (NOT u AND y)::DOUBLE AS c, "
+    "count(*) FILTER (NOT u AND NOT y)::DOUBLE AS d FROM (SELECT o_orderpriority = '1-URGENT' AS u, o_orderstatus = 'F' AS y FROM oc)), "
+    "w AS (SELECT 'urgent' AS term, ln(a * d / (b * c)) AS coef, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM n "
+    "UNION ALL SELECT 'const', ln(c / d), sqrt(1 / c + 1 / d) FROM n)"
+)
+
+
+def binary_logit(spark, d):
+    src = oc(spark, d).withColumn("urgent", (F.col("o_orderpriority") == "1-URGENT").cast("double"))
+    return G.logistic_inference(src, ["urgent"], [], "o_orderstatus", "F")
+
+
+@REG.query(
+    "t26_logistic_binary",
+    f"WITH {BINARY_LOGIT} SELECT term, round(coef, 5) AS coef, round(se, 5) AS std_err, round(coef / se, 4) AS z, round({norm_p2('coef / se')}, 5) AS p_value, "
+    "round(exp(coef), 5) AS odds_ratio, round(exp(coef - 1.959963984540054 * se), 5) AS ci_lower, "
+    f"round(exp(coef + 1.959963984540054 * se), 5) AS ci_upper, {norm_p2('coef / se')} < 0.05 AS significant FROM w",
+)
+def _(spark, d):
+    return report(binary_logit(spark, d), 5, z=4)
+
+
+@REG.query(
+    "c10_forest_logistic",
+    f"WITH {BINARY_LOGIT} SELECT term, round(exp(coef), 5) AS odds_ratio, round(exp(coef) - exp(coef - 1.959963984540054 * se), 5) AS error_low, "
+    "round(exp(coef + 1.959963984540054 * se) - exp(coef), 5) AS error_high FROM w",
+)
+def _(spark, d):
+    return report(C.forest_rows(binary_logit(spark, d)).select("term", "odds_ratio", "error_low", "error_high"), 5)
+
+
+@REG.query(
+    "c12_fitted_line",
+    "WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), "
+    "h AS (SELECT *, md5(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, '42')) AS k FROM lineitem), "
+    "s AS (SELECT * FROM h ORDER BY k, l_orderkey, l_linenumber, l_partkey LIMIT 5000) "
+    "SELECT count(*) AS n, round(avg(a + b * l_quantity), 2) AS mean_predicted, round(avg(l_extendedprice), 2) AS mean_actual, "
+    "(SELECT min(l_extendedprice) FROM lineitem) AS low, (SELECT max(l_extendedprice) FROM lineitem) AS high FROM s, f",
+)
+def _(spark, d):
+    rows = table(spark, d, "lineitem")
+    data = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(rows)
+    fitted = LinearRegression(labelCol="l_extendedprice", solver="normal").fit(data).transform(data)
+    pairs, ends = C.actual_vs_predicted(fitted, "l_extendedprice", "prediction", ["l_orderkey", "l_linenumber", "l_partkey"])
+    means = pairs.agg(F.count("*").alias("n"), F.avg("predicted").alias("mean_predicted"), F.avg("actual").alias("mean_actual"))
+    return report(means.crossJoin(F.broadcast(ends)), 2)
+
+
 @REG.query(
     "t27_ols_hc3",
     "WITH g AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, count(*)::DOUBLE AS n, var_pop(l_quantity) * count(*) AS sxx, "

@@ -50,6 +50,14 @@ def _(spark, d):
     return part.agg(F.count("*").alias("n"), F.max("p_size").cast("long").alias("max_size"))
 
 
+@REG.query("s04_plain_records", "SELECT p_brand, max(p_size)::BIGINT AS p_size, round(min(p_retailprice), 2) AS p_retailprice FROM part GROUP BY 1")
+def _(spark, d):
+    parts = table(spark, d, "part").groupBy("p_brand").agg(F.max("p_size").alias("p_size"), F.min("p_retailprice").alias("p_retailprice"))
+    records = [r.asDict() for r in parts.collect()]  # one per brand
+    one, rest = IO.as_records(spark, records[0], parts.schema), IO.as_records(spark, records[1:], parts.schema)
+    return report(one.unionByName(rest), 2)
+
+
 @REG.query(
     "s06_chart_lookup",
     "SELECT p_type AS level, count(*) AS n FROM part GROUP BY 1",
