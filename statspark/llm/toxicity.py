@@ -173,13 +173,15 @@ def train_toxicity_model(
     docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", *, quota: int = 2000, trees: int = 20, depth: int = 3,
     top_stems: int = 400, min_rows: int = 3, min_log_odds: float = 2.5, seed: int = 5,
 ) -> ToxicityModel:
-    """Fit on the texts of ``docs`` that ``labels`` (key, 0/1 label) marks; rows with a null label are left out.
+    """Fit on the texts of ``docs`` that ``labels`` (key, 0/1 label) marks; rows with a null label are left out, and of
+    several labels of one key the largest counts.
 
     Folds 1 and 2 of the key's CRC-32 give stems, 3 the trees, 4 the calibration; fold 0 is never read here.
     ``quota`` bounds the rows taken of each label in each part, so about 6 × ``quota`` labels travel to the texts, and
     the texts themselves are read once and not shuffled. Without rows of both labels every score is 0.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__label")).dropDuplicates(["__key"])
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__label"))
+    known = known.groupBy("__key").agg(F.max("__label").alias("__label"))
     known = known.withColumn("__fold", fold("__key")).where("__fold > 0")
     parts = [quota_sample(known.where(rule), "__label", "__key", quota, seed) for rule in ("__fold in (1, 2)", "__fold = 3", "__fold = 4")]
     taken = store(parts[0].unionByName(parts[1]).unionByName(parts[2]), "labels")

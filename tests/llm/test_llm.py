@@ -312,6 +312,9 @@ def test_toxicity(spark, docs):
     assert sum(x["predicted"] == x["toxic"] for x in out) >= 0.95 * len(out) and all(0 <= x["score"] <= 1 for x in out)
     got = toxicity.score_toxicity(docs, model)
     assert got.count() == docs.count() and got.where("score is null").count() == 0
+    twice = table.unionByName(table.withColumn("toxic", F.lit(0)))  # a second, lower label changes nothing
+    again = toxicity.train_toxicity_model(table, twice, trees=5)
+    assert sorted(map(tuple, toxicity.score_toxicity(table, again).collect())) == sorted(map(tuple, toxicity.score_toxicity(table, model).collect()))
     none = toxicity.train_toxicity_model(table, table.limit(0))
     assert {x["score"] for x in toxicity.score_toxicity(table.limit(3), none).collect()} == {0.0}
 
