@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statspark.session import bucket_count
+from statspark.session import bucket_count, scratch_dir
 
 _INF = float("inf")
 
@@ -156,213 +156,143 @@ def ranked_values(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    buckets: int | None = None,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation: ``by…, feature, prob, quantile``.
-
-    The built-in ``percentile`` gives the same numbers but keeps every distinct
-    value of a group in one task; here only values near a wanted position are
-    shuffled.
-    """
-    return _quantiles_by_bracket(df, cols, probs, by, buckets)
-
-
 #: Size of the sketches behind brackets, and the slack around a quantile: over twice what their ranks are off, 1 in 1,400.
 ACCURACY, SLACK = 8192, 0.0015
-MAX_GROUPS, MAX_BRACKETS = 50, 600
 #: Equal-width pieces of a bracket; the order inside a piece is one window.
 PIECES = 256
 
 
-def _zone(x: Column, intervals: Sequence[tuple[float, float]]) -> Column:
-    """Odd inside an interval, even between them, missing above the last."""
-    out = None
-    for k, (low, high) in enumerate(intervals):
-        below, inside = x < low, x <= high
-        out = F.when(below, 2 * k) if out is None else out.when(below, 2 * k)
-        out = out.when(inside, 2 * k + 1)
-    return out
+def _brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int, slack: float) -> DataFrame:
+    """One row per group: ``by…`` and, for column i, its count ``_n{i}`` and ``_m{i}``, the lower then the upper ends of the brackets."""
+    ends = sorted({e for p in probs for e in (p - slack, p + slack) if 0 < e < 1}) or [0.5]
+    sketches = sketched_quantiles(df, cols, ends, accuracy, by)
+    out = list(by)
+    for i in range(len(cols)):
+        lowest, highest, marks = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_s{i}")
+        # the sketch need not hold the extremes
+        low = [highest if p >= 1 else marks[ends.index(p - slack)] if p - slack > 0 else lowest for p in probs]
+        high = [lowest if p <= 0 else marks[ends.index(p + slack)] if p + slack < 1 else highest for p in probs]
+        out += [f"_n{i}", F.when(F.col(f"_n{i}") > 0, F.array(*low, *high)).alias(f"_m{i}")]
+    return sketches.select(*out)
+
 
+def _settled(rows: DataFrame, bound: int | None = None) -> tuple[DataFrame, list | None]:
+    """``rows`` computed once: in the driver up to FEW_GROUPS of them (also returned), in a stored table beyond.
 
-def _merged(intervals: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
-    out: list[tuple[float, float]] = []
-    for low, high in sorted(intervals):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
-        else:
-            out.append((low, high))
+    ``bound`` is the largest number of rows, where it is known.
+    """
+    spark = rows.sparkSession
+    if bound is not None and bound <= FEW_GROUPS:
+        found = rows.collect()
+        return spark.createDataFrame(found, rows.schema), found
+    kept = rows.persist()
+    found = kept.limit(FEW_GROUPS + 1).collect()
+    if len(found) <= FEW_GROUPS:
+        out = spark.createDataFrame(found, rows.schema), found
+    else:
+        path = scratch_dir(spark, "quantiles")
+        kept.write.parquet(path)
+        out = spark.read.schema(rows.schema).parquet(path), None
+    kept.unpersist()
     return out
 
 
-def _quantiles_by_bracket(
+def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    buckets: int | None = None,
+    pieces: int = PIECES,
     accuracy: int = ACCURACY,
+    slack: float = SLACK,
 ) -> DataFrame:
-    """Approximate brackets first, then the exact order statistics inside them: two scans.
+    """Exact quantiles with linear interpolation: ``by…, feature, prob, quantile``.
 
-    Values between brackets collapse to one count per task, values above the
-    last are dropped, and what is inside is about 0.3 % of the rows a quantile.
-    More groups or brackets than an expression should hold, or a position
-    outside its bracket (a sketch is off by chance), send the request to the
-    range method.
+    The built-in ``percentile`` gives the same numbers but keeps every distinct value of a group in one task. Here a
+    sketch gives each group, column and quantile a bracket of values; the brackets are a table that meets the rows by
+    group, so any number of groups takes the same way. A value's zone is the number of brackets below it and whether one
+    holds it. Values between brackets collapse to one count per task, those above the last are dropped, and about 0.3 %
+    of the rows a quantile stay; of these only the pieces of brackets that hold a wanted position are ordered. A
+    position outside its bracket (a sketch is off by chance) is sought again with wider brackets, in its group alone.
+    Rows with a null group are left out; a column without values has no row.
     """
-    spark = df.sparkSession
-    slack = SLACK
+    wanted = sorted({float(p) for p in probs})
+    k = len(wanted)
     src = df
     for b in by:
         src = src.where(F.col(b).isNotNull())
-    if by and len(src.select(*by).distinct().limit(MAX_GROUPS + 1).collect()) > MAX_GROUPS:
-        return _quantiles_by_range(df, cols, probs, by, buckets)
-    ends = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-slack, slack)})
-    sketches = sketched_quantiles(src, cols, ends, accuracy, by).collect()
-    if len(sketches) * len(cols) * len(probs) > MAX_BRACKETS:
-        return _quantiles_by_range(df, cols, probs, by, buckets)
-
-    intervals, wanted = {}, {}
-    for g, row in enumerate(sketches):
-        for i in range(len(cols)):
-            n, marks = row[f"_n{i}"], row[f"_s{i}"]
-            if not n:
-                continue
-            pairs = []
-            for j, p in enumerate(probs):
-                # the sketch need not hold the extremes
-                low = marks[ends.index(p - slack)] if p - slack > 0 else row[f"_lo{i}"]
-                high = marks[ends.index(p + slack)] if p + slack < 1 else row[f"_hi{i}"]
-                if p <= 0 or p >= 1:
-                    low = high = row[f"_lo{i}"] if p <= 0 else row[f"_hi{i}"]
-                pairs.append((low, high))
-                wanted[g, i, j] = p * (n - 1)
-            intervals[g, i] = _merged(pairs)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "feature string, prob double, quantile double"
-    if not wanted:
-        return spark.createDataFrame([], schema)
-
-    group = F.lit(0)
-    if by:
-        group = None
-        for g, row in enumerate(sketches):
-            here = F.lit(True)
-            for b in by:
-                here = here & (F.col(b) == F.lit(row[b]))
-            group = F.when(here, g) if group is None else group.when(here, g)
-    placed = src.select(group.alias("g"), *[_clean(c).alias(f"_v{i}") for i, c in enumerate(cols)])
-    zones = {}
-    for i in range(len(cols)):
-        z = None
-        for g in range(len(sketches)):
-            if (g, i) in intervals:
-                one = _zone(F.col(f"_v{i}"), intervals[g, i])
-                here = F.col("g") == g
-                z = F.when(here, one) if z is None else z.when(here, one)
-        zones[f"_z{i}"] = z if z is not None else F.lit(None).cast("int")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.col(f"_z{i}").alias("zone"),
-                F.when(F.col(f"_z{i}") % 2 == 1, F.col(f"_v{i}")).alias("value"),
-            )
-            for i in range(len(cols))
-        ]
-    )
+    brackets, few = _settled(_brackets(src, cols, wanted, by, accuracy, slack), None if by else 1)
+
+    values = src.select(*by, *[_clean(c).alias(f"_v{i}") for i, c in enumerate(cols)])
+    side = brackets if few is None else F.broadcast(brackets)  # FEW_GROUPS rows
+    met = values.join(side, list(by)) if by else values.crossJoin(side)  # without groups it is one row
+    cells = [F.struct(F.lit(i).alias("_i"), F.col(f"_v{i}").alias("_x"), F.col(f"_m{i}").alias("_m")) for i in range(len(cols))]
+    long = met.select(*by, F.inline(F.array(*cells))).where(F.col("_x").isNotNull() & F.col("_m").isNotNull())
+    x, marks = F.col("_x"), F.col("_m")
+    reached, passed = F.lit(0), F.lit(0)
+    for j in range(k):
+        reached = reached + (x >= marks[j]).cast("int")
+        passed = passed + (x > marks[k + j]).cast("int")
+    # both ends rise with the quantile: a value lies in a bracket if more of them begin than end below it
+    long = long.withColumns({"_passed": passed, "_in": reached > passed}).where(F.col("_passed") < k)
+    before = F.when(F.col("_passed") > 0, F.get(marks, k + F.col("_passed") - 1))
+    low = F.greatest(F.get(marks, F.col("_passed")), before)
+    width = F.get(marks, k + F.col("_passed")) - low
+    piece = F.least(F.floor((x - low) / width * pieces), F.lit(pieces - 1))
+    cell = [*by, "_i", "_zone", "_piece"]
     counts = (
-        placed.withColumns(zones)
-        .select("g", F.inline(cells))
-        .where(F.col("zone").isNotNull())
-        .groupBy("g", "i", "zone", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # at most MAX_BRACKETS rows
-    spans = spark.createDataFrame(
-        [(g, i, 2 * k + 1, a, b) for (g, i), found in intervals.items() for k, (a, b) in enumerate(found)],
-        "g int, i int, zone int, low double, high double",
-    )
-    width = F.col("high") - F.col("low")
-    piece = F.least(F.floor((F.col("value") - F.col("low")) / width * PIECES), F.lit(PIECES - 1))
-    counts = counts.join(F.broadcast(spans), ["g", "i", "zone"], "left").select(
-        "g", "i", "zone", "value", "n", F.when((width > 0) & (width < _INF), piece).otherwise(0).cast("int").alias("piece")
-    )
-    keys = ["g", "i", "zone", "piece"]
-    ahead = Window.partitionBy("g", "i").orderBy("zone", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_in"))
-    totals = totals.select(*keys, F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    positions = sorted({(g, i, int(k)) for (g, i, _), at in wanted.items() for k in (at // 1, -(-at // 1))})
-    targets = spark.createDataFrame(positions, "g int, i int, pos long")
-    inside = (
-        counts.where(F.col("value").isNotNull())
-        .withColumn("upto", F.sum("n").over(w))
-        # at most PIECES rows per bracket, and one per zone between brackets
-        .join(F.broadcast(totals), keys)
-        .withColumn("upto", F.col("upto") + F.col("_off"))
-        # at most two positions per group, column and quantile
-        .join(F.broadcast(targets), ["g", "i"])
-        .where((F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("n")))
-    )
-    seen = {(r["g"], r["i"], r["pos"]): r["value"] for r in inside.select("g", "i", "pos", "value").collect()}
-    rows = []
-    for (g, i, j), at in wanted.items():
-        lo, hi = (g, i, int(at // 1)), (g, i, int(-(-at // 1)))
-        if lo not in seen or hi not in seen:
-            return _quantiles_by_range(df, cols, probs, by, buckets)
-        value = seen[lo] if seen[lo] == seen[hi] else seen[lo] + (seen[hi] - seen[lo]) * (at - lo[2])
-        rows.append((*[sketches[g][b] for b in by], cols[i], float(probs[j]), value))
-    return spark.createDataFrame(rows, schema)
-
-
-def _quantiles_by_range(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], buckets: int | None
-) -> DataFrame:
-    """Range totals locate the wanted positions; values are shuffled for their ranges only."""
-    keys = [*by, "feature", "bucket"]
-    long = _bucketed(df, cols, by, None, buckets)
-    totals = long.groupBy(*keys).agg(F.sum("n").alias("n"))
-    at = F.col("prob") * (F.col("total_n") - 1)
-    low, high = F.floor(at), F.ceil(at)
-    start, stop = F.col("_off_n"), F.col("_off_n") + F.col("_in_n")
-    wanted = (
-        _offsets(totals, by, ["n"])
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumns({"at": at, "lo": low, "hi": high})
-        .where(((low >= start) & (low < stop)) | ((high >= start) & (high < stop)))
-        .select(*keys, "prob", "at", "lo", "hi", "_off_n")
-    )
-    counts = (
-        long.join(wanted.select(*keys).distinct(), keys, "left_semi")
-        .groupBy(*keys, "value")
-        .agg(F.sum("n").alias("n"))
-    )
-    placed = _inside(counts, by, ["n"]).join(wanted, keys)
-    first = F.col("below_n") + F.col("_off_n")
-
-    def pick(pos):
-        return F.max(F.when((F.col(pos) >= first) & (F.col(pos) < first + F.col("n")), F.col("value")))
-
-    frac = F.col("at") - F.col("lo")
-    return (
-        placed.groupBy(*by, "feature", "prob", "at", "lo")
-        .agg(pick("lo").alias("vlo"), pick("hi").alias("vhi"))
-        .select(
+        long.select(
             *by,
-            "feature",
-            "prob",
-            F.when(F.col("vlo") == F.col("vhi"), F.col("vlo"))
-            .otherwise(F.col("vlo") + (F.col("vhi") - F.col("vlo")) * frac)
-            .alias("quantile"),
+            "_i",
+            (2 * F.col("_passed") + F.col("_in").cast("int")).alias("_zone"),
+            F.when(F.col("_in") & (width > 0) & (width < _INF), piece).otherwise(0).cast("int").alias("_piece"),
+            F.when(F.col("_in"), x).alias("_value"),
         )
+        .groupBy(*cell, "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
 
+    sizes = brackets.select(*by, F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_n{i}").alias("_total")) for i in range(len(cols))])))
+    sizes = sizes.where(F.col("_total") > 0)
+    places = []
+    for j, p in enumerate(wanted):
+        at = F.lit(p) * (F.col("_total") - 1)
+        places.append(F.struct(F.lit(j).alias("_j"), at.alias("_at"), F.floor(at).alias("_lo"), F.ceil(at).alias("_hi")))
+    sizes = sizes.withColumn("_places", F.array(*places))
+    # at most ``pieces`` rows per bracket, and one per zone between brackets
+    ahead = Window.partitionBy(*by, "_i").orderBy("_zone", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*cell).agg(F.sum("_n").alias("_size"))
+    totals = totals.withColumn("_off", F.coalesce(F.sum("_size").over(ahead), F.lit(0))).where(F.col("_zone") % 2 == 1)
+    start, stop = F.col("_off"), F.col("_off") + F.col("_size")
+    here = F.filter("_places", lambda t: ((t["_lo"] >= start) & (t["_lo"] < stop)) | ((t["_hi"] >= start) & (t["_hi"] < stop)))
+    hits = totals.join(sizes if few is None else F.broadcast(sizes), [*by, "_i"]).select(*cell, "_off", here.alias("_places")).where(F.size("_places") > 0)
+    bound = None if few is None else len(few) * len(cols) * k
+    if bound is not None and bound <= FEW_GROUPS:
+        hits = F.broadcast(hits)  # at most two pieces per group, column and quantile
+    upto = F.sum("_n").over(Window.partitionBy(*cell).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    inside = counts.where(F.col("_value").isNotNull()).join(hits, cell).withColumn("_upto", upto + F.col("_off"))
+    inside = inside.select(*by, "_i", "_value", "_n", "_upto", F.inline("_places"))
+
+    def pick(place: str) -> Column:
+        return F.max(F.when((F.col(place) < F.col("_upto")) & (F.col(place) >= F.col("_upto") - F.col("_n")), F.col("_value")))
+
+    picked = inside.groupBy(*by, "_i", "_j").agg(pick("_lo").alias("_a"), pick("_hi").alias("_b"))
+    every = sizes.select(*by, "_i", F.inline("_places")).join(picked, [*by, "_i", "_j"], "left")
+    a, b = F.col("_a"), F.col("_b")
+    value = F.when(a == b, a).otherwise(a + (b - a) * (F.col("_at") - F.col("_lo")))
+    feature = F.array(*[F.lit(c) for c in cols])[F.col("_i")]
+    prob = F.array(*[F.lit(p) for p in wanted])[F.col("_j")]
+    every = every.select(*by, feature.alias("feature"), prob.alias("prob"), value.alias("quantile"), (a.isNull() | b.isNull()).alias("_lost"))
+    found, rows = _settled(every, bound)
+    out = found.drop("_lost")
+    if rows is not None and not any(r["_lost"] for r in rows):
+        return out
+    lost = found.where("_lost").select(*by).distinct()
+    if not lost.limit(1).collect():
+        return out
+    again = exact_quantiles(src.join(lost, list(by), "left_semi") if by else src, cols, wanted, by, pieces, accuracy, 10 * slack)
+    return out.join(lost, list(by), "left_anti").unionByName(again) if by else again
+
 
 def quantile_map(df: DataFrame, cols: Sequence[str], prob: float) -> dict[str, float]:
     """One exact quantile per column as driver values (one number per column)."""

@@ -41,19 +41,33 @@ def test_quantiles(spark, data, buckets, by):
         assert r["quantile"] == pytest.approx(src[r["feature"]].quantile(r["prob"]), abs=1e-9)
 
 
-def test_bracket_and_range_methods_agree(spark):
-    df = spark.range(200_000).select((F.xxhash64("id") % 100_000).cast("double").alias("x"))
+def test_rough_sketches_give_exact_quantiles(spark):
+    """Brackets that miss their position are widened until they hold it."""
+    df = spark.range(200_000).select((F.xxhash64("id") % 100_000).cast("double").alias("x"), (F.col("id") % 2).alias("g"))
     probs = [0.01, 0.5, 0.999]
-    a = {r["prob"]: r["quantile"] for r in R._quantiles_by_bracket(df, ["x"], probs, accuracy=200).collect()}
-    b = {r["prob"]: r["quantile"] for r in R._quantiles_by_range(df, ["x"], probs, (), 8).collect()}
-    assert a == b
-
-
-def test_many_groups_use_ranges(spark):
-    df = spark.range(4000).select((F.col("id") % 80).alias("g"), (F.col("id") % 1000).cast("double").alias("x"))
-    got = {r["g"]: r["quantile"] for r in R.exact_quantiles(df, ["x"], [0.5], ["g"]).collect()}
-    want = df.toPandas().groupby("g")["x"].median()
-    assert got == want.to_dict()
+    for by, options in ((), {"accuracy": 8, "slack": 1e-3}), (("g",), {"accuracy": 8, "slack": 0.01}):
+        want = df.groupBy(*by).agg(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
+        want = {(r["g"] if by else 0, p): q for r in want for p, q in zip(probs, r["q"])}
+        got = R.exact_quantiles(df, ["x"], probs, by, **options).collect()
+        assert len(got) == len(want)
+        assert {(r["g"] if by else 0, r["prob"]): r["quantile"] for r in got} == pytest.approx(want, abs=1e-9)
+
+
+def test_many_groups(spark, monkeypatch):
+    """10,001 groups, one of them a third of all rows: brackets are a stored table; fewer of them are broadcast, with equal results."""
+    g = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 10_001)
+    df = spark.range(120_000).select(g.alias("g"), (F.xxhash64("id") % 1000).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("y"))
+    pdf = df.toPandas()
+    probs = [0, 0.25, 0.9]
+    got = R.exact_quantiles(df, ["x", "y"], probs, ["g"]).toPandas()
+    want = pd.concat([pdf.groupby("g")[c].quantile(probs).dropna().rename("want").rename_axis(["g", "prob"]).reset_index().assign(feature=c) for c in ("x", "y")])
+    both = got.merge(want, on=["g", "feature", "prob"], how="outer")
+    assert got.g.nunique() == 10_001 and len(both) == len(got) == len(want)
+    assert both["quantile"].to_numpy() == pytest.approx(both["want"].to_numpy(), abs=1e-9)
+    small = df.where("g < 80")
+    few = sorted(R.exact_quantiles(small, ["x"], [0.5], ["g"]).collect())
+    monkeypatch.setattr(R, "FEW_GROUPS", 3)
+    assert sorted(R.exact_quantiles(small, ["x"], [0.5], ["g"]).collect()) == few and len(few) == 80
 
 
 def test_quantiles_of_empty_and_constant(spark):
@@ -144,7 +158,7 @@ def test_several_lookups_with_missing_keys(spark):
 def test_wide_brackets_are_cut_into_pieces(spark):
     df = spark.range(50_000).select((F.xxhash64("id") % 20_000).cast("double").alias("x"), (F.col("id") % 3).alias("g"))
     probs = [0, 0.25, 0.5, 0.75, 1]
-    got = R._quantiles_by_bracket(df, ["x"], probs, ["g"], accuracy=20).collect()
+    got = R.exact_quantiles(df, ["x"], probs, ["g"], accuracy=20).collect()
     pdf = df.toPandas()
     assert len(got) == 15
     for r in got:
