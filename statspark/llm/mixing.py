@@ -80,21 +80,20 @@ def _turn(key: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key.cast("string")))
 
 
-def plan_mix(
-    docs: DataFrame, levels: Sequence[str] = ("domain", "lang", "source"), weights: Mapping[tuple, float] | None = None, *,
-    text: str = "text", key: str = "doc_id", tokens: Column | None = None, budget_share: float = 0.6, max_epochs: int = 2, seed: int = 17,
-) -> DataFrame:
-    """One row per document key: levels, tokens, copies (how often it is taken) and tokens_taken.
+def _nameless(key: Column, text: Column) -> Column:
+    """What stands for a null key: a digest of the text."""
+    return F.when(key.isNull(), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
-    ``budget_share`` is the budget as a share of all tokens; ``tokens`` counts a row's tokens (default: words). The
-    document in which a leaf's budget ends is taken, and tokens_taken says how far. Null levels are nodes like any
-    other. Rows that repeat a key are one document (that of the smallest levels and token count); a document without tokens has no
-    copies unless its leaf takes a whole epoch. An empty table gives no rows.
-    """
+
+def _plan(
+    docs: DataFrame, levels: Sequence[str], weights: Mapping[tuple, float] | None, *,
+    text: str, key: str, tokens: Column | None, budget_share: float, max_epochs: int, seed: int,
+) -> DataFrame:
+    """``plan_mix`` with ``__h``, which tells documents without a key apart."""
     count = F.size(words_native(F.col(text))).cast("long") if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
     names = list(levels)
-    small = docs.select(F.col(key).alias("__k"), F.struct(*[F.col(c).cast("string").alias(c) for c in names], count.alias("tokens")).alias("r"))
-    small = store(small.groupBy("__k").agg(F.min("r").alias("r")).select("__k", "r.*"), "mix")
+    small = docs.select(F.col(key).alias("__k"), _nameless(F.col(key), F.col(text)).alias("__h"), F.struct(*[F.col(c).cast("string").alias(c) for c in names], count.alias("tokens")).alias("r"))
+    small = store(small.groupBy("__k", "__h").agg(F.min("r").alias("r")).select("__k", "__h", "r.*"), "mix")
     leaves = small.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     plan = leaf_budgets(leaves, names, weights or {}, budget_share, max_epochs)
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
@@ -103,7 +102,7 @@ def plan_mix(
     on = F.lit(True)
     for c in names:
         on = on & small[c].eqNullSafe(plan[f"__l_{c}"])
-    turn = _turn(F.col("__k"), F.col("epochs"), seed)
+    turn = _turn(F.coalesce(F.col("__k").cast("string"), F.col("__h")), F.col("epochs"), seed)
     place = F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     rows = small.join(plan, on).drop(*[f"__l_{c}" for c in names]).withColumn("turn", turn)
     rows = rows.withColumn("slice", F.floor(place * F.col("slices")).cast("long"))
@@ -116,19 +115,40 @@ def plan_mix(
         on = on & F.col(c).eqNullSafe(F.col(f"__l_{c}"))
     rows = rows.join(slices, on).drop("__s", *[f"__l_{c}" for c in names])
     cut = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("sum"))
-    inside = Window.partitionBy(*names).orderBy("turn", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*names).orderBy("turn", "__k", "__h").rowsBetween(Window.unboundedPreceding, -1)
     sure = rows.where(~cut).withColumn("more", F.when(F.col("before") + F.col("sum") <= F.col("rest"), F.col("tokens")).otherwise(F.lit(-1)))
     edge = rows.where(cut).withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     edge = edge.withColumn("more", F.when(F.col("at") < F.col("rest"), F.least(F.col("tokens"), F.col("rest") - F.col("at"))).otherwise(F.lit(-1))).drop("at")
     both = sure.unionByName(edge).withColumn("more", F.when(F.col("rest") > 0, F.col("more")).otherwise(F.lit(-1)))
     return both.select(
-        F.col("__k").alias(key), *names, "tokens", (F.col("epochs") + F.when(F.col("more") >= 0, 1).otherwise(0)).cast("long").alias("copies"),
+        F.col("__k").alias(key), "__h", *names, "tokens", (F.col("epochs") + F.when(F.col("more") >= 0, 1).otherwise(0)).cast("long").alias("copies"),
         (F.col("epochs") * F.col("tokens") + F.greatest(F.col("more"), F.lit(0))).cast("long").alias("tokens_taken"),
     )
 
 
-def mix(docs: DataFrame, levels: Sequence[str] = ("domain", "lang", "source"), weights: Mapping[tuple, float] | None = None, *, key: str = "doc_id", **options) -> DataFrame:
+def plan_mix(
+    docs: DataFrame, levels: Sequence[str] = ("domain", "lang", "source"), weights: Mapping[tuple, float] | None = None, *,
+    text: str = "text", key: str = "doc_id", tokens: Column | None = None, budget_share: float = 0.6, max_epochs: int = 2, seed: int = 17,
+) -> DataFrame:
+    """One row per document: key, levels, tokens, copies (how often it is taken) and tokens_taken.
+
+    ``budget_share`` is the budget as a share of all tokens; ``tokens`` counts a row's tokens (default: words). The
+    document in which a leaf's budget ends is taken, and tokens_taken says how far. Null levels are nodes like any
+    other. Rows that repeat a key are one document (that of the smallest levels and token count); rows with a null key
+    are one document for each different text. A document without tokens has no copies unless its leaf takes a whole
+    epoch. An empty table gives no rows.
+    """
+    options = {"text": text, "key": key, "tokens": tokens, "budget_share": budget_share, "max_epochs": max_epochs, "seed": seed}
+    return _plan(docs, levels, weights, **options).drop("__h")
+
+
+def mix(
+    docs: DataFrame, levels: Sequence[str] = ("domain", "lang", "source"), weights: Mapping[tuple, float] | None = None, *,
+    text: str = "text", key: str = "doc_id", tokens: Column | None = None, budget_share: float = 0.6, max_epochs: int = 2, seed: int = 17,
+) -> DataFrame:
     """The rows of ``docs`` as often as the plan takes them, whole; columns as in ``docs``."""
-    taken = plan_mix(docs, levels, weights, key=key, **options).where("copies > 0").select(F.col(key).alias("__key"), F.col("copies").alias("__copies"))
-    out = docs.join(taken, docs[key].eqNullSafe(taken["__key"]))
+    options = {"text": text, "key": key, "tokens": tokens, "budget_share": budget_share, "max_epochs": max_epochs, "seed": seed}
+    taken = _plan(docs, levels, weights, **options).where("copies > 0").select(F.col(key).alias("__key"), "__h", F.col("copies").alias("__copies"))
+    same = docs[key].eqNullSafe(taken["__key"]) & _nameless(docs[key], docs[text]).eqNullSafe(taken["__h"])
+    out = docs.join(taken, same)
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])

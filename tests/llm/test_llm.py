@@ -218,6 +218,44 @@ def test_tiling(spark, docs):
     clean = [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()]
     assert 11 not in clean and len(clean) == docs.where("doc_id is null or doc_id <> 11").count()
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
+    # each row by its own text: null and repeated keys, empty texts
+    odd = spark.createDataFrame([(None, items[1][1]), (None, "quite clean"), (1, items[2][1]), (1, "clean"), (2, None), (3, "")], "doc_id long, text string")
+    for size in (20_000, 2):
+        kept = sorted(map(str, decontaminate.decontaminate(odd, bench, block_items=size).collect()))
+        assert kept == sorted(map(str, odd.where("text is null or text in ('quite clean', 'clean', '')").collect()))
+
+
+def test_tiling_of_repeated_words():
+    r = random.Random(8)
+    for k in (1, 2, 3, 5):
+        for _ in range(25):
+            item, doc = (" ".join(r.choice("abcde"[:k]) for _ in range(r.randint(1, n))) for n in (14, 24))
+            got = decontaminate.Seeds([(7, item.split())], 4).matches(doc, 0.6)
+            want = brute_coverage(item, doc, 4)
+            assert [m[:2] for m in got] == ([(7, want)] if want >= 0.6 else [])
+
+
+def test_tiling_work_is_bounded():
+    """A run shared by 20,000 items is never tiled where it can't reach the coverage; a text of one word is a few passes."""
+    items = [(i, [f"u{i}x{j}" for j in range(20)] + "one common run here".split()) for i in range(20_000)]
+    seeds = decontaminate.Seeds(items, 4)
+    start = time.time()
+    assert seeds.matches("say one common run here now", 0.6) == []
+    assert [m[0] for m in seeds.matches(" ".join(items[5][1]), 0.6)] == [5]
+    same = decontaminate.Seeds([(1, ["x"] * 200)], 4)
+    assert same.matches("x " * 20_000, 0.6) == [(1, 1.0, 1, 200)]
+    assert time.time() - start < 5
+
+
+def test_blocks_are_cut_by_words(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, words(400 if i == 3 else 8, i)) for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, words(400 if i == 3 else 8, i)) for i in range(0, 30, 3)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 4, 10))
+    assert len(blocks) > 3 and sorted(i for b in blocks for i, _, _ in b.value.items) == list(range(30))
+    got = decontaminate.contaminated(docs, bench, block_items=10).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(0, 30, 3)]
 
 
 def run_twin(spark, name):
@@ -271,7 +309,8 @@ def test_frequent_lines_removed(spark, docs):
 def test_mix(spark, docs):
     d = docs.withColumn("domain", F.lit(None).cast("string"))
     plan = mixing.plan_mix(d, budget_share=0.5, max_epochs=2)
-    assert plan.count() == d.select("doc_id").distinct().count()
+    nameless = d.where("doc_id is null").select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert plan.count() == d.where("doc_id is not null").select("doc_id").distinct().count() + nameless
     mixed = mixing.mix(d, budget_share=0.5)
     assert mixed.columns == d.columns
     rows = [(i, "a" if i < 4 else "b", "x" if i % 2 else "y", f"s{i % 3}", "w " * (5 + i)) for i in range(40)]
@@ -283,6 +322,17 @@ def test_mix(spark, docs):
     assert total // 2 - 6 <= sum(r["tokens_taken"] for r in got) <= total // 2  # the rest went to the other domain
 
 
+def test_mix_without_keys(spark):
+    rows = [(None, "a b c"), (None, words(100, 1)), (None, words(100, 1)), (None, None), (4, "d e"), (4, "d e"), (5, "")]
+    frame = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id long, text string, domain string, lang string, source string")
+    plan = mixing.plan_mix(frame, budget_share=1.0, max_epochs=1).collect()
+    got = sorted((r["doc_id"] or 0, r["tokens"], r["copies"], r["tokens_taken"]) for r in plan)
+    assert got == [(0, 0, 1, 0), (0, 3, 1, 3), (0, 100, 1, 100), (4, 2, 1, 2), (5, 0, 1, 0)]
+    assert sorted(map(str, mixing.mix(frame, budget_share=1.0, max_epochs=1).collect())) == sorted(map(str, frame.collect()))
+    half = mixing.plan_mix(frame, budget_share=0.5, max_epochs=1).collect()
+    assert sum(r["tokens_taken"] for r in half) == 52
+
+
 def test_language(spark, docs):
     r = random.Random(1)
     syllables = {"en": "th er on ing", "de": "sch ung en ich", "fr": "eau oi re le"}
