@@ -77,10 +77,11 @@ def normal_pdf(x: Column, mean: Column, sd: Column) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Aggregate: Pearson r over rows where both are present; null for a constant column.
+    """Aggregate: Pearson r over rows where both are present, NaN counting as missing; null for a constant column.
 
     The built-in ``corr`` divides by zero there when ANSI mode is on.
     """
+    x, y = null_if_nan(x), null_if_nan(y)
     both = x.isNotNull() & y.isNotNull()
     spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
     return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))

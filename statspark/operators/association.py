@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statspark.functions import dist
 from statspark.functions import scalars as S
-from statspark.operators.profile import factor_long, per_column, stack_rows
+from statspark.operators.profile import factor_long, per_column, present, stack_rows
 from statspark.operators.rank import with_midranks
 
 # --- factors against an outcome ---------------------------------------------
@@ -201,11 +201,11 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str], cover: bool = False) -> Da
     pairs = list(combinations(cols, 2))
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = S.null_if_nan(F.col(a).cast("double")), S.null_if_nan(F.col(b).cast("double"))
         aggs.append(S.correlation(x, y).alias(f"r{i}"))
         aggs.append(F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}"))
     if cover:
-        aggs += [F.count(c).alias(f"d{i}") for i, c in enumerate(cols)]
+        aggs += [F.count(present(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]
 
     def cell(a, b, r_, n_):
         return F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), r_.alias("r"), n_.alias("n"))
@@ -248,7 +248,7 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str], cover: bool = False) -> D
         for c in cols:
             if gaps[c]:
                 parts.append(
-                    df.agg(F.count(c).alias("n")).select(
+                    df.agg(F.count(present(df, c)).alias("n")).select(
                         F.lit(c).alias("feature_1"), F.lit(c).alias("feature_2"), F.lit(1.0).alias("r"), "n"
                     )
                 )

@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statspark.functions import dist
 from statspark.functions import scalars as S
 from statspark.operators.profile import melt, per_column, unbiased_kurtosis, unbiased_skewness
-from statspark.operators.rank import exact_quantiles, ranked_values
-from statspark.operators.sampling import fixed_sample
+from statspark.operators.rank import _clean, exact_quantiles, ranked_values
+from statspark.operators.sampling import key_hash
 
 SAMPLE = 5000
 
@@ -33,19 +33,35 @@ def column_samples(
     group: str | None = None,
     group_levels: Sequence = (),
 ) -> DataFrame:
-    """At most ``n`` non-missing values per column (and group): ``feature[, group], value``."""
-    parts = []
-    for c in cols:
-        rows = df.where(F.col(c).isNotNull())
-        for level in group_levels if group else [None]:
-            src = rows.where(F.col(group) == F.lit(level)) if group else rows
-            picked = fixed_sample(src.select(*keys, F.col(c).cast("double").alias("value")), keys, n, seed)
-            extra = [F.lit(level).alias(group)] if group else []
-            parts.append(picked.select(F.lit(c).alias("feature"), *extra, "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """At most ``n`` non-missing values per column (and group): ``feature[, group], value``.
+
+    The values in the rows with the least key hashes, for all columns and groups together in two scans. The first counts
+    the values by the number of binary digits of the hash (53 rows at most); so each column and group knows the fewest
+    digits that give it ``n`` values, about twice as many at most. The second keeps these and orders them. The keys
+    should identify the rows, as rows with equal keys are kept or left together.
+    """
+    cells = [(c, level) for c in cols for level in (group_levels if group else [None])]
+    extra = [group] if group else []
+    hashed = df.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        key_hash(keys, seed).alias("_hash"),
+        *[(F.when(F.col(group) == F.lit(level), _clean(c)) if group else _clean(c)).alias(f"_v{i}") for i, (c, level) in enumerate(cells)],
+    ).withColumn("_digits", F.length(F.bin(F.conv(F.substring("_hash", 1, 13), 16, 10).cast("long"))))
+    sizes = hashed.groupBy("_digits").agg(*[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(cells))]).orderBy("_digits").collect()
+    wanted = []
+    for i, (c, level) in enumerate(cells):
+        seen, digits = 0, 52
+        for r in sizes:
+            seen += r[f"_n{i}"]
+            if seen >= n:
+                digits = r["_digits"]
+                break
+        value = F.when(F.col("_digits") <= digits, F.col(f"_v{i}")).alias("value")
+        wanted.append(F.struct(F.lit(c).alias("feature"), *[F.lit(level).alias(g) for g in extra], value))
+    names = [f"_key{i}" for i in range(len(keys))]
+    few = hashed.select("_hash", *names, F.inline(F.array(*wanted))).where(F.col("value").isNotNull())
+    place = F.row_number().over(Window.partitionBy("feature", *extra).orderBy("_hash", *names))
+    return few.withColumn("_place", place).where(F.col("_place") <= n).select("feature", *extra, "value")
 
 
 def shapiro(samples: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:

@@ -19,11 +19,15 @@ from statspark.session import bucket_count
 SEGMENT = "_segment"
 
 
+#: Bytes of a text key that one number holds exactly.
+TEXT_BYTES = 6
+#: Whole numbers up to here are exact as doubles.
+EXACT = 2.0**53
+
+
 def _as_number(df: DataFrame, c: str) -> Column:
-    """Order-preserving number of a numeric or time column; text has none."""
+    """Number of a numeric or time column that never falls as the key rises; several keys may share one."""
     kind = dict(df.dtypes)[c]
-    if kind in ("string", "binary") or kind.startswith(("char", "varchar")):
-        raise TypeError(f"{c} is {kind}: an order key must be a number, a date or a time; rank text keys first")
     if kind == "timestamp":
         return F.unix_micros(c).cast("double")
     if kind == "timestamp_ntz":  # no zone: use its own calendar fields
@@ -34,36 +38,72 @@ def _as_number(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
+def _remainder(df: DataFrame, c: str) -> tuple[Column, float] | None:
+    """What a double leaves out of a wide whole or decimal key, and the double from which on it does; None for other types."""
+    kind = dict(df.dtypes)[c]
+    if kind not in ("bigint", "timestamp") and not kind.startswith("decimal"):
+        return None
+    scale = int(kind[:-1].split(",")[1]) if kind.startswith("decimal") else 0
+    own = (F.unix_micros(c) if kind == "timestamp" else F.col(c)).cast(f"decimal(38,{scale})")
+    return F.try_subtract(own, own.cast("double").try_cast(f"decimal(38,{scale})")).cast("double"), EXACT / 10**scale
+
+
+def _is_text(df: DataFrame, c: str) -> bool:
+    kind = dict(df.dtypes)[c]
+    return kind in ("string", "binary") or kind.startswith(("char", "varchar"))
+
+
+def _text_numbers(df: DataFrame, c: str) -> list[Column]:
+    """Numbers of the bytes of a text key that follow what all keys begin with; they rise with the key."""
+    ends = df.agg(F.min(c).cast("binary").alias("low"), F.max(c).cast("binary").alias("high")).first()
+    low, high = bytes(ends["low"] or b""), bytes(ends["high"] or b"")
+    same = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    pieces = [F.substring(F.col(c).cast("binary"), same + 1 + i * TEXT_BYTES, TEXT_BYTES) for i in range(2)]
+    return [F.conv(F.rpad(F.hex(x), 2 * TEXT_BYTES, "0"), 16, 10).cast("double") for x in pieces]
+
+
 def with_segments(
     df: DataFrame, order: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
     """Tag rows with consecutive ranges of ``order[0]``, refined by ``order[1]`` on hot ties.
 
-    A first key so frequent that it is a split point gets a range of its own,
-    which the second key then divides; all other rows have sub-range 0.
+    A first key so frequent that it is a split point gets a range of its own, which the second key then divides. Ranges
+    are cut between doubles; keys that share a hot double (whole numbers above 2**53, long decimals) are divided by
+    what it leaves out before the second key divides them. A text key is cut by the twelve bytes that follow the
+    common beginning of all keys; rows equal in these stay in one range, whatever their number. Rows inside a range
+    are ordered by the keys themselves, so ranges only steer the layout.
     """
     buckets = buckets or bucket_count(df.sparkSession)
-    keys = [f"_o{i}" for i in range(min(2, len(order)))]
-    base = df.withColumns({k: _as_number(df, c) for k, c in zip(keys, order)})
-    splits = split_points(base, keys, buckets)
+    first = order[0]
+    if _is_text(df, first):
+        levels = _text_numbers(df, first)
+    else:
+        levels = [_as_number(df, first)]
+        if len(order) > 1:
+            levels += [_text_numbers(df, order[1])[0] if _is_text(df, order[1]) else _as_number(df, order[1])]
+    base = df.withColumns({f"_o{i}": level for i, level in enumerate(levels)})
+    names = [f"_o{i}" for i in range(len(levels))]
+    splits = split_points(base, names, buckets)
+    rest = None if _is_text(df, first) else _remainder(df, first)
+    if rest and len(names) > 1 and any(abs(s) >= rest[1] for s in splits["_o0"]):
+        base = base.withColumn("_rest", rest[0])
+        splits |= split_points(base, ["_rest"], buckets)
+        names.insert(1, "_rest")
     stage = Bucketizer(
-        splitsArray=[[-_INF, *splits[k], _INF] for k in keys],
-        inputCols=keys,
-        outputCols=[k + "b" for k in keys],
+        splitsArray=[[-_INF, *splits[k], _INF] for k in names],
+        inputCols=names,
+        outputCols=[k + "b" for k in names],
         handleInvalid="keep",
     )
-    tagged = stage.transform(base)
-    main = F.col("_o0b").cast("int")
-    if splits["_o0"]:
-        floor = F.element_at(F.array(*[F.lit(s) for s in splits["_o0"]]), F.greatest(main, F.lit(1)))
-        exact = (main >= 1) & (F.col("_o0") == floor)
-    else:
-        exact = F.lit(False)
-    after = F.when(exact, 0).otherwise(1)
-    sub = F.when(exact, F.col("_o1b").cast("int")).otherwise(0) if len(keys) > 1 else F.lit(0)
-    return tagged.withColumn(
-        SEGMENT, F.struct(main.alias("a"), after.alias("b"), sub.alias("c"))
-    ).drop(*keys, *[k + "b" for k in keys])
+    # a level counts only for rows that equal a split point on all levels before it
+    parts, exact = [], F.lit(True)
+    for k in names:
+        place = F.when(exact, F.col(k + "b").cast("int")).otherwise(0)
+        start = F.element_at(F.array(*[F.lit(s) for s in splits[k]]), F.greatest(place, F.lit(1)))
+        exact = exact & (place >= 1) & (F.col(k) == start)
+        parts += [place, F.when(exact, 0).otherwise(1)]
+    segment = F.struct(*[part.alias(f"p{i}") for i, part in enumerate(parts)])
+    return stage.transform(base).withColumn(SEGMENT, segment).drop(*names, *[k + "b" for k in names])
 
 
 def chunked(df: DataFrame, position: str, size: int = 100_000) -> DataFrame:

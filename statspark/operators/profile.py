@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statspark.functions import scalars as S
 from statspark.operators.rank import quantile_map, wide_quantiles
 
 # --- columns and rows -------------------------------------------------------
@@ -57,12 +58,17 @@ def head(df: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
 # --- one row per column -----------------------------------------------------
 
 
+def present(df: DataFrame, c: str) -> Column:
+    """Column ``c`` with NaN as null, where its type has NaN."""
+    return S.null_if_nan(F.col(c)) if dict(df.dtypes).get(c) in ("double", "float") else F.col(c)
+
+
 def per_column(df: DataFrame, cols: Sequence[str], stats: Mapping[str, object], by: Sequence[str] = ()) -> DataFrame:
     """Apply ``name -> (column -> aggregate)`` to all columns in one scan, long form.
 
-    One wide aggregate, then its few result rows are turned: no row blow-up.
+    One wide aggregate, then its few result rows are turned: no row blow-up. NaN counts as missing.
     """
-    aggs = [make(F.col(c)).alias(f"{n}__{i}") for i, c in enumerate(cols) for n, make in stats.items()]
+    aggs = [make(present(df, c)).alias(f"{n}__{i}") for i, c in enumerate(cols) for n, make in stats.items()]
     wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     rows = F.array(
         *[
@@ -137,12 +143,12 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Type, missing count and missing percent per column."""
+    """Type, missing count (null or NaN) and missing percent per column."""
     cols = list(cols or df.columns)
     types = dict(df.dtypes)
     wide = df.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
     )
     rows = F.array(
         *[

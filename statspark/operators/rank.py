@@ -27,6 +27,12 @@ def _clean(c: str) -> Column:
     return F.when(F.isnan(x), None).otherwise(x + F.lit(0.0))
 
 
+def _own(df: DataFrame, c: str) -> Column:
+    """The column in its own type where a double can't hold all its values, else as a clean double."""
+    kind = dict(df.dtypes)[c]
+    return F.col(c) if kind == "bigint" or kind.startswith("decimal") else _clean(c)
+
+
 #: First level of a sketch: tasks are merged in so many groups, and only the groups' sketches meet.
 SALTS = 256
 #: Largest sketch; its ranks are off by about 1 in 20,000 of the rows.
@@ -68,6 +74,7 @@ def _bucketed(
     tallies: Mapping[str, Column] | None = None,
     buckets: int | None = None,
     splits: Mapping[str, Sequence[float]] | None = None,
+    own: bool = False,
 ) -> DataFrame:
     """Long form ``(by…, feature, bucket, value, n, tallies…)`` without missing values."""
     tallies = {"n": F.lit(1), **(tallies or {})}
@@ -76,6 +83,7 @@ def _bucketed(
         *by,
         *[t.cast("long").alias(name) for name, t in tallies.items()],
         *[_clean(c).alias(f"_v{i}") for i, c in enumerate(cols)],
+        *[_own(df, c).alias(f"_x{i}") for i, c in enumerate(cols) if own],
     )
     layout = Bucketizer(
         splitsArray=[[-_INF, *splits[c], _INF] for c in cols],
@@ -88,7 +96,7 @@ def _bucketed(
             F.struct(
                 F.lit(c).alias("feature"),
                 F.col(f"_b{i}").cast("int").alias("bucket"),
-                F.col(f"_v{i}").alias("value"),
+                F.col(f"_x{i}" if own else f"_v{i}").alias("value"),
             )
             for i, c in enumerate(cols)
         ]
@@ -133,15 +141,19 @@ def ranked_values(
     tallies: Mapping[str, Column] | None = None,
     buckets: int | None = None,
     splits: Mapping[str, Sequence[float]] | None = None,
+    own: bool = False,
 ) -> DataFrame:
     """One row per distinct value: counts, counts below it, totals and mid-rank.
 
+    Values are doubles, in which whole numbers above 2**53 may tie; ``own`` keeps whole numbers and decimals as they
+    are (all columns then need one such type).
+
     ``tallies`` adds named 0/1 (or weight) columns counted alongside ``n``, e.g.
     the members of one group. Output: ``by…, feature, bucket, value, n,
     below_n, total_n, midrank`` and the same three columns per tally.
     """
     names = ["n", *(tallies or {})]
-    long = _bucketed(df, cols, by, tallies, buckets, splits)
+    long = _bucketed(df, cols, by, tallies, buckets, splits, own)
     keys = [*by, "feature", "bucket"]
     counts = long.groupBy(*keys, "value").agg(*[F.sum(t).alias(t) for t in names])
     totals = counts.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in names])
@@ -370,10 +382,10 @@ def with_midranks(df: DataFrame, cols: Mapping[str, str], buckets: int | None =
     frequent = F.col("n") * limit > F.col("total_n")
     lookups = {}
     for source, name in cols.items():
-        mine = ranked_values(df, [source], splits=splits).select(
+        mine = ranked_values(df, [source], splits=splits, own=True).select(
             F.col("value").alias("_key"), F.col("midrank").alias(name), "n", "total_n"
         )
-        lookups[name] = (_clean(source), mine, frequent)
+        lookups[name] = (_own(df, source), mine, frequent)
     return lookups_skewed(df, lookups)
 
 

@@ -176,7 +176,32 @@ def test_few_groups_are_not_shuffled(spark, monkeypatch):
     assert sorted(few.collect()) == sorted(R.join_groups(df, means, ["g"]).collect())
 
 
-def test_text_order_keys_are_refused(spark):
-    df = spark.createDataFrame([("a", "x", 1)], "g string, t string, v long")
-    with pytest.raises(TypeError, match="rank text keys"):
-        O.running_sum(df, ["g"], ["t"], "v", "total")
+@pytest.mark.parametrize("buckets", [1, 6, 40])
+@pytest.mark.parametrize("kind", ["bigint", "decimal(25,3)"])
+def test_order_keys_beyond_doubles(spark, buckets, kind):
+    """Keys that are one double are still in order, and a hot key among them is divided by the second one."""
+    key = f"CAST(9007199254740992000 + CASE WHEN id % 3 = 0 THEN 7 ELSE (id * 37) % 900 END AS {kind}) AS k"
+    df = spark.range(3000).selectExpr(key, "(id * 7) % 3000 AS j", "id % 11 AS v").repartition(5)
+    want = sorted((r["k"], r["j"], r["v"]) for r in df.collect())
+    sums = np.cumsum([v for _, _, v in want])
+    got = O.running_sum(O.with_segments(df, ["k", "j"], buckets), [], ["k", "j"], "v", "t").collect()
+    assert {(r["k"], r["j"]): r["t"] for r in got} == {(k, j): t for (k, j, _), t in zip(want, sums)}
+    ranks = pd.Series([int(k) for k, _, _ in want]).rank()
+    got = R.with_midranks(df, {"k": "r"}, buckets).collect()
+    assert {int(r["k"]): r["r"] for r in got} == {int(k): x for (k, _, _), x in zip(want, ranks)}
+
+
+@pytest.mark.parametrize("buckets", [1, 6, 40])
+def test_text_order_keys(spark, buckets):
+    """Text keys with a common beginning, empty, short, long and non-ASCII ends, and a hot key."""
+    ends = ["", "a", "ab", "é", "zebra", "zebra crossing 1", "zebra crossing 2", "日本", "a\u0000"]
+    rows = [("item/" + ("hot" if i % 3 == 0 else ends[i % len(ends)] + str(i % 5) * (i % 2)), (i * 7) % 1000, i % 11) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, j long, v long").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0].encode(), r[1]))
+    sums = np.cumsum([v for _, _, v in want])
+    got = O.running_sum(O.with_segments(df, ["k", "j"], buckets), [], ["k", "j"], "v", "t").collect()
+    assert {(r["k"], r["j"]): r["t"] for r in got} == {(k, j): t for (k, j, _), t in zip(want, sums)}
+    segments = O.with_segments(df, ["k", "j"], buckets).select(O.SEGMENT).distinct().count()
+    assert segments > buckets / 2
+    late = O.running_sum(df, [], ["j", "k"], "v", "t").collect()  # as the second key
+    assert max(r["t"] for r in late) == sum(v for _, _, v in rows)

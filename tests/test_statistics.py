@@ -11,6 +11,7 @@ from statspark.functions import dist
 from statspark.operators import anova as V
 from statspark.operators import association as A
 from statspark.operators import hypothesis as H
+from statspark.operators import profile as P
 from statspark.operators import regression as G
 from statspark.operators import sampling as M
 
@@ -255,3 +256,33 @@ def test_strata_are_exact(spark):
     src = spark.range(1000).withColumn("s", F.when(F.col("id") % 10 == 0, "rare").otherwise("hot"))
     got = M.stratified_flags(src, ["id"], "s").groupBy("s").agg(F.count_if("is_test").alias("n")).collect()
     assert {r["s"]: r["n"] for r in got} == {"rare": 20, "hot": 180}
+
+
+def test_samples_of_all_columns_at_once(spark):
+    """Equal to a sorted sample of each column and group; columns with few values, NaN and none; any layout."""
+    df = spark.range(3000).selectExpr(
+        "id", "IF(id % 10 = 0, 'a', IF(id % 50 = 1, 'b', NULL)) AS g", "CAST(id AS DOUBLE) AS x",
+        "IF(id % 100 = 0, CAST(id AS FLOAT), CAST('NaN' AS FLOAT)) AS few", "CAST(NULL AS DOUBLE) AS none",
+    )
+    for n in (1, 40, 5000):
+        want = set()
+        for c in ("x", "few"):
+            for g in ("a", "b"):
+                rows = df.where((F.col("g") == g) & ~F.isnan(c)).select("id", F.col(c).cast("double").alias("v"))
+                want |= {(c, g, r["v"]) for r in M.fixed_sample(rows, ["id"], n).collect()}
+        for parts in (1, 9):
+            got = H.column_samples(df.repartition(parts), ["x", "few", "none"], ["id"], n, group="g", group_levels=["a", "b"]).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+    whole = H.column_samples(df, ["x"], ["id"], 70).collect()
+    assert {r["value"] for r in whole} == {float(r["id"]) for r in M.fixed_sample(df, ["id"], 70).collect()} and len(whole) == 70
+    assert H.column_samples(df.limit(0), ["x", "few"], ["id"], 70).count() == 0
+
+
+def test_nan_is_missing_everywhere(spark):
+    rows = [(1.0, 2.0), (2.0, 4.5), (3.0, 5.0), (float("nan"), 9.0), (4.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    r = A.pearson_pairs(df, ["a", "b"], True).where("feature_1 = 'a' and feature_2 = 'b'").first()
+    assert r["n"] == 3 and r["r"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4.5, 5])[0, 1])
+    assert {x["feature"]: x["n_missing"] for x in P.missing_report(df).collect()} == {"a": 1, "b": 1}
+    got = {x["feature"]: (x["n"], x["mean"], x["max"]) for x in P.numeric_summary(df, ["a", "b"]).collect()}
+    assert got == {"a": (4, 2.5, 4.0), "b": (4, 5.125, 9.0)}
