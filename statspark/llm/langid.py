@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from statspark.llm.common import quota_sample, small_batches, spans_by_size
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and signs such as ² and ½
 _FOLD = bytes(b if b >= 128 or chr(b).islower() else 32 for b in range(256))
 _PIECE = 1 << 20
 
@@ -168,9 +168,13 @@ def train_language_model(
     return LanguageModel(languages, emb, head, bias, temperature, reject, bits)
 
 
+def _has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def predict(model: LanguageModel, texts: pd.Series) -> pd.DataFrame:
     """Language, calibrated probability and rejection of each text."""
-    known = np.array([isinstance(t, str) and bool(_LETTER.search(t)) for t in texts], dtype=bool)
+    known = np.array([isinstance(t, str) and _has_letter(t) for t in texts], dtype=bool)
     out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "rejected": True}, index=range(len(texts)))
     if not model.languages or not known.any():
         return out

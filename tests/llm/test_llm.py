@@ -1,6 +1,7 @@
 """The text operators: brute force, round trips, held-out accuracy, SQL twins, and awkward rows."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -354,6 +355,72 @@ def test_language(spark, docs):
     assert cut == whole
 
 
+def test_language_sums_against_brute_force():
+    """Every window of three and four bytes one by one, over texts that are joined or cut."""
+    r = np.random.default_rng(4)
+    bits = 9
+    table = np.vstack([r.normal(size=(1 << bits, 3)), np.zeros((1, 3))]).astype(np.float32)
+    texts = ["", " ", "a", "ab cd", "Häuser über 12 Straßen", "x" * 50, "日本語 text", "  two   words  ", *(words(30, i) for i in range(20))]
+    total, count = langid._sums([langid._normalise(t) for t in texts], table, bits)
+    for t, got, n in zip(texts, total, count):
+        b = b" " + langid._normalise(t) + b"    "
+        found = []
+        for x, y, z, w in zip(b, b[1:], b[2:], b[3:]):
+            three = x | y << 8 | z << 16
+            if y != 32 and (x != 32 or z != 32):
+                found.append((three * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits))
+            if y != 32 and z != 32:
+                four = three | w << 24
+                found.append(((four ^ four >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - bits))
+        assert n == len(found) and got == pytest.approx(table[found].sum(axis=0, dtype=np.float64) if found else np.zeros(3), abs=1e-5)
+
+
+def test_only_letters_make_a_language():
+    assert not any(map(langid._has_letter, ["", "12 ½ ²", "_ ٣ Ⅷ", "!?"]))
+    assert all(map(langid._has_letter, ["½ a", "é", "日", "1²b"]))
+
+
+def test_toxicity_features_against_brute_force():
+    """Words one by one, every pair of a lexicon and a second-person word, every window of 25 words."""
+    stems = {0: frozenset(["crumb"]), 4: frozenset(["zark"])}
+    pool = ["you", "Your", "idiot", "IDIOT!", "1d1ot", "f.o.o.l", "st*pid", "zarkblob", "crumb", "crumbs", "don't", "ab1cd", "a-b", "x", "OK", "plain", "word", "12", "?!", "é", "$hit", "..."]
+    r = random.Random(3)
+    symbols = "#*$%&|<>", ".,;:'\"()"
+    for size in [0, 1, 2, 5, 30, 400]:
+        for share in (2, 9):
+            ws = [r.choice(pool) if r.randint(0, share) == 0 else "plain" for _ in range(size)]
+            text = " ".join(ws)
+            hit, listed, stem, you, mixed, hidden, caps = [], 0, 0, [], 0, 0, 0
+            for i, word in enumerate(ws):
+                while word and not (word[0].isalnum() or word[0] in "_@$*"):
+                    word = word[1:]
+                while word and not (word[-1].isalnum() or word[-1] in "_@$*"):
+                    word = word[:-1]
+                low = word.lower()
+                odd = any(c.isalpha() for c in low) and not low.isalpha()
+                mended = "".join((toxicity.MENDED.get(ord(c), c) or "") if ord(c) in toxicity.MENDED else c for c in low)
+                is_hidden = odd and mended != low and mended in toxicity.LEXICON
+                is_stem = low == "crumb" or low.startswith("zark")
+                listed += low in toxicity.LEXICON or is_hidden
+                stem += is_stem
+                hidden += is_hidden
+                mixed += odd and not all(c.isalpha() for c in low[1:-1]) and "'" not in low and "-" not in low
+                caps += len(word) > 1 and word.isupper()
+                if low in toxicity.LEXICON or is_hidden or is_stem:
+                    hit.append(i)
+                if low in toxicity.SECOND_PERSON:
+                    you.append(i)
+            near = sum(any(abs(i - j) <= 5 for j in you) for i in hit)
+            dense = max((sum(i <= j < i + 25 for j in hit) for i in hit), default=0)
+            raw = text.encode()
+            upper = sum(65 <= c <= 90 for c in raw)
+            letters = max(1, upper + sum(97 <= c <= 122 for c in raw))
+            chars = [sum(text.count(c) for c in group) / max(1, len(raw)) for group in ("!", "?", *symbols)]
+            n = max(1, size)
+            want = [math.log1p(size), listed / n, stem / n, len(hit) / n, math.log1p(len(hit)), near / n, len(you) / n, upper / letters, caps / n, *chars, mixed / n, hidden / n, dense / 25]
+            assert toxicity.features_of(text, toxicity._Codes(stems)) == pytest.approx(want if size else [0.0] * len(want))
+
+
 def test_toxicity(spark, docs):
     rows = [(i, words(40, i) + (" you zarkblob" + str(i % 3) + "oid idiot " if i % 4 == 0 else " ") + words(10, -i), int(i % 4 == 0)) for i in range(600)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
