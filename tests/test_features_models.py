@@ -6,6 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -322,6 +323,22 @@ def test_target_bundle(spark, df, monkeypatch):
     assert same.runs["t"].best.metrics["r2"] == pytest.approx(run.best.metrics["r2"])
 
 
+def test_forests_keep_nodes_beside_rows(spark, df):
+    train = M.labelled(df, "y", "pos")
+    forest = RandomForestClassifier(numTrees=6, maxDepth=12, seed=7)
+    model = M.compare_classifiers(train, train, ["x", "w"], ["f"], {"Random Forest": forest})["Random Forest"].model
+    assert model.stages[-1].getOrDefault("cacheNodeIds") and not forest.isSet(forest.cacheNodeIds)
+    rows = PipelineModel(model.stages[:-1]).transform(train).select("label", "features").coalesce(1).persist()
+    plain, own = forest.copy().setFeaturesCol("features").fit(rows), fits.prepared(forest).fit(rows)
+    assert plain.toDebugString.splitlines()[1:] == own.toDebugString.splitlines()[1:]
+
+
+def test_packed_has_no_more_partitions_than_cores_need(spark):
+    rows, width = spark.range(0, 100, 1, 64), spark.sparkContext.defaultParallelism
+    parts = [fits.packed(rows, n).rdd.getNumPartitions() for n in (0, 15_000, 30_000, 600_000, 2_000_000)]
+    assert parts == [1, 1, 2, min(30, max(width, 3)), min(64, max(width, 10))]
+
+
 def test_pool_keeps_order():
     assert fits.run_pool({"a": lambda: 1, "b": lambda: 2}, 4, {"a": 1, "b": 9}.get) == {"a": 1, "b": 2} and fits.run_pool({}, 4) == {}
     assert fits.cost(GBTClassifier(maxIter=100, maxDepth=5)) > fits.cost(RandomForestClassifier(numTrees=100, maxDepth=15)) > fits.cost(LinearRegression())
