@@ -19,8 +19,9 @@ way to every cluster's storage; each row also has its part, its place in the par
 from __future__ import annotations
 
 import re
+import string
 import zlib
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +186,7 @@ class PieceEncoder:
 
     _SAFE_SPACE = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
     _TAIL = re.compile(r"(\0?)([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+    _MARKS = string.punctuation
     _RUN = 100
 
     def __init__(self, path: str, cap: int = 1_000_000) -> None:
@@ -207,7 +209,8 @@ class PieceEncoder:
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in a row, and their numbers."""
         ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
     def _in_runs(self, bodies: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
         """As ``_each`` for pieces that a space precedes, or lines, joined into runs; their bytes tell the ids apart."""
@@ -217,7 +220,8 @@ class PieceEncoder:
             runs = ["\n".join(bodies[i : i + self._RUN]) + "\n" for i in range(0, len(bodies), self._RUN)]
         ids, _ = self._each(runs)
         ends = np.cumsum(self._bytes[ids])
-        sizes = np.array([len(b.encode("utf-8")) + 1 for b in bodies], np.int64)
+        raw = np.frombuffer((mark.join(bodies) + mark).encode("utf-8"), np.uint8)  # no body holds its mark
+        sizes = np.diff(np.flatnonzero(raw == ord(mark)), prepend=-1)
         cuts = np.searchsorted(ends, np.cumsum(sizes)) + 1
         if len(ids) == 0 or ends[-1] != sizes.sum() or (ends[cuts - 1] != np.cumsum(sizes)).any():
             return self._each([(" " if mark == " " else "") + b for b in bodies])
@@ -244,20 +248,31 @@ class PieceEncoder:
 
     def _learn(self, missing: list[str]) -> None:
         """Ids of new pieces; a word with punctuation after it is its word's ids and the punctuation's ids."""
-        spaced, lines, odd, joined = [], [], [], []
         known = self._places
+        spaced, lines, odd = [k for k in missing if k.isalnum()], [], []
+        joined, words, tails = [], [], []
         for key in missing:
+            if key.isalnum():
+                continue
+            word = key.rstrip(self._MARKS)
+            if word.isalpha():  # most others: letters and marks
+                joined.append(key)
+                words.append(word)
+                tails.append("\0" + key[len(word) :])
+                continue
             first = key[:1] == "\0"
             body = key[1:] if first else key
             if not body or self._edge(body[0]) or self._edge(body[-1]):
                 known[key] = -1
             elif m := self._TAIL.fullmatch(key):
-                joined.append((key, m[1] + m[2], "\0" + m[3]))
+                joined.append(key)
+                words.append(m[1] + m[2])
+                tails.append("\0" + m[3])
             elif len(body.split()) > 1:
                 odd.append(key)
             else:
                 (lines if first else spaced).append(key)
-        new = {p for _, b, t in joined for p in (b, t) if p not in known}
+        new = [p for p in {*words, *tails} if p not in known]
         lines = list(dict.fromkeys(lines + [p for p in new if p[0] == "\0"]))
         spaced = list(dict.fromkeys(spaced + [p for p in new if p[0] != "\0"]))
         if spaced:
@@ -267,9 +282,11 @@ class PieceEncoder:
         if odd:
             self._put(odd, *self._each([k[1:] if k[0] == "\0" else " " + k for k in odd]))
         if joined:
-            pairs = np.array([known[p] for _, b, t in joined for p in (b, t)], np.int64)
+            pairs = np.empty(2 * len(joined), np.int64)
+            pairs[::2] = np.fromiter(map(known.__getitem__, words), np.int64, len(joined))
+            pairs[1::2] = np.fromiter(map(known.__getitem__, tails), np.int64, len(joined))
             flat, sizes = self._gather(pairs)
-            self._put([k for k, _, _ in joined], flat, sizes.reshape(-1, 2).sum(axis=1))
+            self._put(joined, flat, sizes.reshape(-1, 2).sum(axis=1))
 
     def _find(self, pieces: list[str]) -> np.ndarray:
         missing = self._places.missing = []

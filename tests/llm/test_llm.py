@@ -552,3 +552,16 @@ def test_stages_awkward(spark, docs, name, stage, tmp_path):
     assert out.count() >= 0
     if name != "token_shards":
         assert out.columns == docs.columns
+
+
+def test_pieces_with_marks_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    enc, whole = tokens.PieceEncoder(queries.tokenizer_path(), cap=50), Tokenizer.from_file(queries.tokenizer_path())
+    rng = np.random.default_rng(8)
+    parts = ["ab", "É", "ß9", "²", "٣", "_", ".", ",!", "***", " ", "  ", "\n", "\t", "Ⅷ", "'s", "\u180e", "\u00a0", "日本"]
+    for _ in range(30):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(20)]
+        ids, sizes = enc.encode(texts)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
