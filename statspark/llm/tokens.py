@@ -18,6 +18,7 @@ way to every cluster's storage; each row also has its part, its place in the par
 
 from __future__ import annotations
 
+import os
 import re
 import string
 import zlib
@@ -179,7 +180,9 @@ class PieceEncoder:
     Byte-level BPE never merges over the border that a lone space between two visible characters makes: the space
     begins the next piece. So a text falls into pieces there (and around lone newlines), and its ids are the pieces'
     ids in a row. Texts with other white space are cut at safe spaces only; texts that hold the mark of a special token,
-    or a zero character, go through the tokenizer whole. ``cap`` bounds the pieces remembered at a time.
+    or a zero character, go through the tokenizer whole. ``cap`` bounds the pieces remembered at a time: beyond it those
+    that were met in one call only are forgotten. The tokenizer runs in the task's own thread, as a pool of threads
+    holds memory for each and a task has one core.
 
     A piece is known by its text without the space before it; one that no space precedes has a zero character instead.
     """
@@ -189,9 +192,10 @@ class PieceEncoder:
     _MARKS = string.punctuation
     _RUN = 100
 
-    def __init__(self, path: str, cap: int = 1_000_000) -> None:
+    def __init__(self, path: str, cap: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer, self._cap = Tokenizer.from_file(path), cap
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         vocab = self._tokenizer.get_vocab()
@@ -204,8 +208,18 @@ class PieceEncoder:
         self._places = _Places()
         self._flat, self._used = np.zeros(1 << 16, np.uint32), 0
         self._begin, self._size, self._known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self._again = np.zeros(1 << 14, bool)
         self._put(["\n"], *self._each(["\n"]))
 
+    def _forget(self) -> None:
+        """Keep the pieces that a later call met again, or none if these are over half of the cap."""
+        kept = {k: p for k, p in self._places.items() if p >= 0 and self._again[p] and k != "\n"}
+        if len(kept) > self._cap // 2:
+            kept = {}
+        flat, sizes = self._gather(np.fromiter(kept.values(), np.int64, len(kept)))
+        self._reset()
+        self._put(list(kept), flat, sizes)
+
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in a row, and their numbers."""
         ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -234,7 +248,7 @@ class PieceEncoder:
         while self._used + len(flat) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
         while self._known + len(keys) > len(self._begin):
-            self._begin, self._size = (np.concatenate([a, np.zeros_like(a)]) for a in (self._begin, self._size))
+            self._begin, self._size, self._again = (np.concatenate([a, np.zeros_like(a)]) for a in (self._begin, self._size, self._again))
         to = slice(self._known, self._known + len(keys))
         self._begin[to] = self._used + np.cumsum(sizes) - sizes
         self._size[to] = sizes
@@ -291,6 +305,7 @@ class PieceEncoder:
     def _find(self, pieces: list[str]) -> np.ndarray:
         missing = self._places.missing = []
         places = np.fromiter(map(self._places.__getitem__, pieces), np.int64, len(pieces))
+        self._again[places[places >= 0]] = True
         if missing:
             self._learn(list(dict.fromkeys(missing)))
             places[places == -2] = np.fromiter(map(self._places.__getitem__, missing), np.int64, len(missing))
@@ -319,8 +334,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each."""
-        if self._known > self._cap:
-            self._reset()
+        if len(self._places) > self._cap:
+            self._forget()
         pieces, sizes = [], []
         for text in texts:
             if "\0" in text or any(s in text for s in self._special):

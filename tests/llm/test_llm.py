@@ -565,3 +565,21 @@ def test_pieces_with_marks_equal_whole_texts():
         ids, sizes = enc.encode(texts)
         want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_pieces_met_again_are_kept():
+    from tokenizers import Tokenizer
+
+    enc, whole = tokens.PieceEncoder(queries.tokenizer_path(), cap=60), Tokenizer.from_file(queries.tokenizer_path())
+    assert enc._cap < tokens.PieceEncoder(queries.tokenizer_path())._cap <= 400_000
+    for i in range(60):
+        texts = [f"so common x{i}a{k}" for k in range(10)]
+        ids, sizes = enc.encode(texts)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(enc._places) <= 60 + 13
+    runs = []
+    each, enc._each = enc._each, lambda texts: (runs.extend(texts), each(texts))[1]
+    for i in range(60):
+        enc.encode([f"so common y{i}b{k}" for k in range(10)])
+    assert not any("common" in t for t in runs)  # forgetting never asks the tokenizer for it again
