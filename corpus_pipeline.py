@@ -13,6 +13,8 @@ from statspark.llm.common import store, table
 from statspark.session import scratch_dir
 
 SHINGLE, RADIUS = 3, 2
+#: Pieces that the tokenizer's workers remember: they share the executor with what the stages before have left.
+PIECES = 400_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of the mixture, read back as one row per document."""
     path = scratch_dir(spark, "tokens")
-    tokens.write_tokens(docs, path, queries.tokenizer_path())
+    tokens.write_tokens(docs, path, queries.tokenizer_path(), pieces=PIECES)
     return tokens.read_tokens(spark, path)
 
 

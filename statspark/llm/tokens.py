@@ -180,9 +180,9 @@ class PieceEncoder:
     Byte-level BPE never merges over the border that a lone space between two visible characters makes: the space
     begins the next piece. So a text falls into pieces there (and around lone newlines), and its ids are the pieces'
     ids in a row. Texts with other white space are cut at safe spaces only; texts that hold the mark of a special token,
-    or a zero character, go through the tokenizer whole. ``cap`` bounds the pieces remembered at a time: beyond it those
-    that were met in one call only are forgotten. The tokenizer runs in the task's own thread, as a pool of threads
-    holds memory for each and a task has one core.
+    or a zero character, go through the tokenizer whole. ``cap`` bounds the pieces remembered at a time; beyond it all are
+    forgotten. A ``frugal`` encoder then keeps those met again, which makes a small cap cheap, and runs the tokenizer in the
+    task's own thread, since each thread of a pool holds memory.
 
     A piece is known by its text without the space before it; one that no space precedes has a zero character instead.
     """
@@ -192,11 +192,12 @@ class PieceEncoder:
     _MARKS = string.punctuation
     _RUN = 100
 
-    def __init__(self, path: str, cap: int = 400_000) -> None:
+    def __init__(self, path: str, cap: int = 1_000_000, frugal: bool = False) -> None:
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self._tokenizer, self._cap = Tokenizer.from_file(path), cap
+        if frugal:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self._tokenizer, self._cap, self._frugal = Tokenizer.from_file(path), cap, frugal
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         vocab = self._tokenizer.get_vocab()
         self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has one character per byte
@@ -305,7 +306,8 @@ class PieceEncoder:
     def _find(self, pieces: list[str]) -> np.ndarray:
         missing = self._places.missing = []
         places = np.fromiter(map(self._places.__getitem__, pieces), np.int64, len(pieces))
-        self._again[places[places >= 0]] = True
+        if self._frugal:
+            self._again[places[places >= 0]] = True
         if missing:
             self._learn(list(dict.fromkeys(missing)))
             places[places == -2] = np.fromiter(map(self._places.__getitem__, missing), np.int64, len(missing))
@@ -335,7 +337,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each."""
         if len(self._places) > self._cap:
-            self._forget()
+            self._forget() if self._frugal else self._reset()
         pieces, sizes = [], []
         for text in texts:
             if "\0" in text or any(s in text for s in self._special):
@@ -357,25 +359,27 @@ class PieceEncoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int | None], PieceEncoder] = {}
 
 
-def _encoder(path: str) -> PieceEncoder:
+def _encoder(path: str, pieces: int | None) -> PieceEncoder:
     """One encoder per Python worker, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, pieces) not in _ENCODERS:
+        _ENCODERS.clear()  # a worker holds one at a time
+        _ENCODERS[path, pieces] = PieceEncoder(path, pieces, frugal=True) if pieces else PieceEncoder(path)
+    return _ENCODERS[path, pieces]
 
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = 2,
-    shard_ids: int = 1 << 16, parts: int | None = None,
+    shard_ids: int = 1 << 16, parts: int | None = None, pieces: int | None = None,
 ) -> str:
     """Tokenise whole texts and write them as shards in ascending key order; returns ``path``.
 
     Null and empty texts are one end id. Rows that repeat a key are all written, in order of their text. Null keys
     come first and are stored as the smallest 64-bit integer. A document is never split over shards, so a very long
-    one makes a long shard. An empty table writes an empty folder of the same shape.
+    one makes a long shard. An empty table writes an empty folder of the same shape. With ``pieces`` a Python
+    worker holds a frugal encoder that remembers about so many: less memory, more time, the same ids.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -385,7 +389,7 @@ def write_tokens(
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())])
 
     def run(batches):
-        enc, part, seq, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, before = _encoder(tokenizer, pieces), TaskContext.get().partitionId(), 0, 0
         keys, lengths, ids, held = [], [], [], 0
 
         def flush():

@@ -570,8 +570,7 @@ def test_pieces_with_marks_equal_whole_texts():
 def test_pieces_met_again_are_kept():
     from tokenizers import Tokenizer
 
-    enc, whole = tokens.PieceEncoder(queries.tokenizer_path(), cap=60), Tokenizer.from_file(queries.tokenizer_path())
-    assert enc._cap < tokens.PieceEncoder(queries.tokenizer_path())._cap <= 400_000
+    enc, whole = tokens.PieceEncoder(queries.tokenizer_path(), cap=60, frugal=True), Tokenizer.from_file(queries.tokenizer_path())
     for i in range(60):
         texts = [f"so common x{i}a{k}" for k in range(10)]
         ids, sizes = enc.encode(texts)
@@ -583,3 +582,11 @@ def test_pieces_met_again_are_kept():
     for i in range(60):
         enc.encode([f"so common y{i}b{k}" for k in range(10)])
     assert not any("common" in t for t in runs)  # forgetting never asks the tokenizer for it again
+
+
+def test_token_files_do_not_depend_on_pieces(spark, docs, tmp_path):
+    got = []
+    for pieces in (3, None):
+        path = tokens.write_tokens(docs, str(tmp_path / str(pieces)), queries.tokenizer_path(), parts=2, pieces=pieces)
+        got.append(sorted(tokens.read_tokens(spark, path).collect(), key=lambda r: r["start"]))
+    assert len(got[0]) == docs.count() and got[0] == got[1]
