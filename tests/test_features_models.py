@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -339,6 +339,34 @@ def test_packed_has_no_more_partitions_than_cores_need(spark):
     assert parts == [1, 1, 2, min(30, max(width, 3)), min(64, max(width, 10))]
 
 
+def test_packed_spreads_what_was_read_in_one_task(spark):
+    width = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 600, 1, 1)
+    assert fits.packed(rows, 60_000).rdd.getNumPartitions() == min(3, max(width, 1)) and fits.packed(rows, 600).rdd.getNumPartitions() == 1
+    held = fits.packed(rows, 60_000).rdd.glom().map(len).collect()
+    assert sum(held) == 600 and min(held) > 100
+
+
+def test_routes_with_one_matrix_share_fits(spark, df, monkeypatch):
+    src = df.na.drop().withColumn("t", F.col("x") * 2 + F.col("id") % 3)
+    fitted, models = [], {"Forest": RandomForestRegressor(numTrees=3, maxDepth=4, seed=7)}
+    fit = RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, data, *a: fitted.append(data) or fit(self, data, *a))
+    run = M.compare_regressors(src, "t", ["x", "w"], ["f"], ["id"], models=models)
+    names = [f"{r} - Forest" for r in ("Basic", "Feature Selection", "PCA", "Domain Features")]
+    assert len(fitted) == 2 and list(run.results) == names  # every slot is selected and nothing is derived
+    trees = {n: run.results[n].model.stages[-1].toDebugString.splitlines()[1:] for n in names}
+    assert trees[names[0]] == trees[names[1]] == trees[names[3]] != trees[names[2]]
+    for name in names:
+        found = run.results[name]
+        alone = M.compare_regressors(src, "t", ["x", "w"], ["f"], ["id"], models=models, routes=(name.split(" - ")[0],)).results[name]
+        again = M.regression_metrics(found.model.transform(run.test), "label", "prediction").first().asDict()
+        assert found.name == name and found.metrics == pytest.approx(alone.metrics) and again == pytest.approx(found.metrics)
+    fitted.clear()
+    M.compare_regressors(src, "t", ["x", "w"], ["f"], ["id"], models=models, k=2, ratios=[("r", "x", "w")])
+    assert len(fitted) == 4
+
+
 def test_pool_keeps_order():
     assert fits.run_pool({"a": lambda: 1, "b": lambda: 2}, 4, {"a": 1, "b": 9}.get) == {"a": 1, "b": 2} and fits.run_pool({}, 4) == {}
     assert fits.cost(GBTClassifier(maxIter=100, maxDepth=5)) > fits.cost(RandomForestClassifier(numTrees=100, maxDepth=15)) > fits.cost(LinearRegression())
