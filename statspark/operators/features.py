@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     OneHotEncoder,
@@ -179,13 +181,6 @@ def domain_stage(
     return SQLTransformer(statement="SELECT *" + "".join(f", {p}" for p in parts) + " FROM __THIS__")
 
 
-# Yeo-Johnson of column x with the parameter in column lam
-YEO_JOHNSON = (
-    "CASE WHEN x >= 0 AND abs(lam) < 1e-12 THEN log1p(x) WHEN x >= 0 THEN (pow(x + 1, lam) - 1) / lam "
-    "WHEN abs(lam - 2) < 1e-12 THEN -log1p(-x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END"
-)
-
-
 def yeo_johnson_sql(x: str, lam: float) -> str:
     pos = f"log1p({x})" if abs(lam) < 1e-12 else f"(pow({x} + 1, {_lit(lam)}) - 1) / {_lit(lam)}"
     neg = (
@@ -198,45 +193,53 @@ def yeo_johnson(df: DataFrame, lambdas: Mapping[str, float]) -> DataFrame:
     return df.withColumns({c: F.expr(yeo_johnson_sql(f"CAST(`{c}` AS DOUBLE)", lam)) for c, lam in lambdas.items()})
 
 
+def _power_sums(grids: Sequence[Sequence[float]], means: Sequence[float]):
+    """A task's sums of the transformed columns and of their squares, each less the transformed mean, per grid point."""
+
+    def one(x: np.ndarray, lam: float) -> np.ndarray:
+        up, down = np.maximum(x, 0.0), np.maximum(-x, 0.0)
+        pos = np.log1p(up) if abs(lam) < 1e-12 else (np.power(up + 1, lam) - 1) / lam
+        neg = -np.log1p(down) if abs(lam - 2) < 1e-12 else -(np.power(down + 1, 2 - lam) - 1) / (2 - lam)
+        return np.where(x < 0, neg, pos)
+
+    def run(batches):
+        at = [(i, k, lam) for i, grid in enumerate(grids) for k, lam in enumerate(grid)]
+        with np.errstate(all="ignore"):
+            middle = [one(np.array([means[i]]), lam)[0] for i, _, lam in at]
+            sums = np.zeros((len(at), 2))
+            for batch in batches:
+                xs = [c.drop_null().to_numpy(zero_copy_only=False) for c in batch.columns]
+                for j, (i, _, lam) in enumerate(at):
+                    d = one(xs[i], lam) - middle[j]
+                    sums[j] += d.sum(), d @ d
+        yield pa.RecordBatch.from_pydict({"i": [a[0] for a in at], "k": [a[1] for a in at], "d": sums[:, 0], "dd": sums[:, 1]})
+
+    return run
+
+
 def fit_yeo_johnson(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Maximum-likelihood lambda per column, by a grid narrowed over three scans.
 
-    Each scan spreads a value over its column's grid and reduces at once to one
-    variance per grid point; a parabola through the last grid's best points gives the final value.
+    A task of a scan reduces its rows to two sums per column and grid point, so no row is multiplied; a parabola
+    through the last grid's best points gives the final value.
     """
-    base = df.agg(
-        *[
-            F.sum(F.signum(F.col(c).cast("double")) * F.log1p(F.abs(F.col(c).cast("double")))).alias(f"s{i}")
-            for i, c in enumerate(cols)
-        ],
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+    xs = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    base = xs.agg(
+        *[F.sum(F.signum(f"x{i}") * F.log1p(F.abs(f"x{i}"))).alias(f"s{i}") for i in range(len(cols))],
+        *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(cols))],
+        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(cols))],
     ).first()
+    means = [base[f"m{i}"] or 0.0 for i in range(len(cols))]
     best = {c: 0.0 for c in cols}
     for step in (1.0, 0.25, 0.05):
         grids = {c: [best[c] + step * k for k in range(-4, 5)] for c in cols}
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("feature"),
-                    F.col(c).cast("double").alias("x"),
-                    F.array(*[F.lit(v) for v in grids[c]]).alias("grid"),
-                )
-                for c in cols
-            ]
-        )
-        spread = (
-            df.select(F.inline(cells))
-            .where(F.col("x").isNotNull())
-            .select("feature", "x", F.posexplode("grid").alias("k", "lam"))
-            .groupBy("feature", "k")
-            .agg(F.var_pop(F.expr(YEO_JOHNSON)).alias("v"))
-            .collect()
-        )
-        found = {(r["feature"], r["k"]): r["v"] for r in spread}
+        parts = xs.mapInArrow(_power_sums([grids[c] for c in cols], means), "i long, k long, d double, dd double")
+        found = {(r["i"], r["k"]): r for r in parts.groupBy("i", "k").agg(F.sum("d").alias("d"), F.sum("dd").alias("dd")).collect()}
         for i, c in enumerate(cols):
             scores = []
             for k, lam in enumerate(grids[c]):
-                v = found.get((c, k))
+                n, r = base[f"n{i}"], found.get((i, k))
+                v = r["dd"] / n - (r["d"] / n) ** 2 if n and r else None
                 usable = v is not None and math.isfinite(v) and v > 0
                 scores.append(-base[f"n{i}"] / 2 * math.log(v) + (lam - 1) * base[f"s{i}"] if usable else -math.inf)
             best[c] = _peak(grids[c], scores, refine=step == 0.05)
@@ -364,12 +367,39 @@ def fit_preprocessor(
     outlier_z: float | None = None,
     max_categories: int | None = None,
     output: str = "features",
+    fitted: Mapping[str, str] | None = None,
 ) -> PipelineModel:
     """Column-wise preprocessing fitted on the training rows only, as a saveable pipeline.
 
     Numeric: optional z-score outlier removal, median fill, optional Yeo-Johnson,
     standardise. Categorical: mode fill, optional merging of rare levels, one-hot.
+    Columns in ``fitted`` (of ``fit_columns`` on the same rows with the same options) are not fitted again.
     """
+    expr = dict(fitted or {})
+    expr |= fit_columns(train, [c for c in numeric if c not in expr], [c for c in categorical if c not in expr], power, outlier_z, max_categories)
+    parts = [f"{expr[c]} AS `{c}__num`" for c in numeric] + [f"{expr[c]} AS `{c}__cat`" for c in categorical]
+    prepare = SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
+    stages, inputs = [prepare], [f"{c}__num" for c in numeric]
+    if categorical:
+        work = train.select(*[F.col(c).cast("double").alias(c) for c in numeric], *categorical)
+        index, encode = one_hot_stages([f"{c}__cat" for c in categorical])
+        indexed = index.fit(prepare.transform(work))
+        encoded = encode.fit(indexed.transform(prepare.transform(work)))
+        stages += [indexed, encoded]
+        inputs += [f"{c}__cat__oh" for c in categorical]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error"))
+    return PipelineModel(stages)
+
+
+def fit_columns(
+    train: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    power: bool = False,
+    outlier_z: float | None = None,
+    max_categories: int | None = None,
+) -> dict[str, str]:
+    """Per column the SQL expression that prepares it, with what was fitted as literals."""
     numeric, categorical = list(numeric), list(categorical)
     work = train.select(*[F.col(c).cast("double").alias(c) for c in numeric], *categorical)
     expr = {c: f"CASE WHEN NOT isnan(CAST(`{c}` AS DOUBLE)) THEN CAST(`{c}` AS DOUBLE) END" for c in numeric}
@@ -398,16 +428,4 @@ def fit_preprocessor(
         if kept is not None:
             e = f"CASE WHEN {e} IN ({', '.join(_text(k) for k in kept)}) THEN {e} ELSE '{INFREQUENT}' END"
         cat_expr[c] = e
-    parts = [f"{e} AS `{c}__num`" for c, e in expr.items()] + [f"{e} AS `{c}__cat`" for c, e in cat_expr.items()]
-    prepare = SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
-    stages, inputs = [prepare], [f"{c}__num" for c in numeric]
-    if categorical:
-        index, encode = one_hot_stages([f"{c}__cat" for c in categorical])
-        indexed = index.fit(prepare.transform(work))
-        encoded = encode.fit(indexed.transform(prepare.transform(work)))
-        stages += [indexed, encoded]
-        inputs += [f"{c}__cat__oh" for c in categorical]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error"))
-    return PipelineModel(stages)
-
-
+    return expr | cat_expr

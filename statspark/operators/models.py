@@ -501,7 +501,8 @@ def compare_regressors(
     with kept(fits.packed(train, n_train)) as train, kept(fits.packed(test, n_train)) as judged:
         candidates = models or default_regressors(n_train, seed)
         try:
-            basic = X.fit_preprocessor(train, numeric, categorical, **options)
+            fitted = X.fit_columns(train, numeric, categorical, **options)
+            basic = X.fit_preprocessor(train, numeric, categorical, fitted=fitted, **options)
             ready, unseen = (hold(basic.transform(data).select("label", "features")) for data in (train, judged))
             names = X.vector_names(ready)
             picked = X.selector_stage(min(k, len(names))).fit(ready)
@@ -530,7 +531,7 @@ def compare_regressors(
                     # derived columns come before the preprocessing, where the names still exist
                     derive = X.domain_stage(ratios, bands)
                     made = [r[0] for r in ratios] + [b[0] for b in bands]
-                    own = X.fit_preprocessor(derive.transform(train), [*numeric, *made], categorical, **options)
+                    own = X.fit_preprocessor(derive.transform(train), [*numeric, *made], categorical, fitted=fitted, **options)
                     chain = PipelineModel([derive, *own.stages])
                     head, vector, sides = chain.stages, "features", (chain.transform(train), chain.transform(judged))
                 else:

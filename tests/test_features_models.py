@@ -367,6 +367,37 @@ def test_routes_with_one_matrix_share_fits(spark, df, monkeypatch):
     assert len(fitted) == 4
 
 
+def test_power_fit_multiplies_no_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(-1, 2, 900), 5 + rng.exponential(3.0, 900)
+    rows = [(None if i % 50 == 0 else float(a), float(b), None) for i, (a, b) in enumerate(zip(x, w))]
+    d = spark.createDataFrame(rows, "x double, w double, none double").repartition(5)
+    monkeypatch.setattr(F, "posexplode", None)
+    got = X.fit_yeo_johnson(d, ["x", "w", "none"])
+    assert got["none"] == 1.0
+    for values, lam in ((x[np.arange(900) % 50 != 0], got["x"]), (w, got["w"])):
+        def score(p, v=values):
+            pos = np.log1p(np.maximum(v, 0)) if abs(p) < 1e-12 else ((np.maximum(v, 0) + 1) ** p - 1) / p
+            neg = -np.log1p(np.maximum(-v, 0)) if abs(p - 2) < 1e-12 else -((np.maximum(-v, 0) + 1) ** (2 - p) - 1) / (2 - p)
+            return -len(v) / 2 * math.log(np.where(v < 0, neg, pos).var()) + (p - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum()
+
+        assert score(lam) >= max(score(lam + s) for s in (-0.05, -0.02, 0.02, 0.05))
+
+
+def test_routes_fit_a_column_once(spark, df, monkeypatch):
+    src = df.na.drop().withColumn("t", F.col("x") * 2 + F.col("id") % 3)
+    fitted, fit = [], X.fit_yeo_johnson
+    monkeypatch.setattr(X, "fit_yeo_johnson", lambda data, cols: fitted.extend(cols) or fit(data, cols))
+    models, made = {"Ridge": LinearRegression(regParam=1e-6)}, [("r", "x", "w")]
+    run = M.compare_regressors(src, "t", ["x", "w"], ["f"], ["id"], ratios=made, models=models, routes=("Basic", "Domain Features"))
+    assert fitted == ["x", "w", "r"]
+    train, _ = M.train_test_split(src, ["id"], 0.2, 42)
+    alone = X.fit_preprocessor(X.domain_stage(made).transform(train), ["x", "w", "r"], ["f"], power=True, outlier_z=3.0, max_categories=10)
+    own, plain = run.results["Domain Features - Ridge"].model, X.domain_stage(made).transform(src)
+    got, want = ([r["features"].toArray() for r in m.transform(t).orderBy("id").select("features").collect()] for m, t in ((own, src), (alone, plain)))
+    np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
 def test_pool_keeps_order():
     assert fits.run_pool({"a": lambda: 1, "b": lambda: 2}, 4, {"a": 1, "b": 9}.get) == {"a": 1, "b": 2} and fits.run_pool({}, 4) == {}
     assert fits.cost(GBTClassifier(maxIter=100, maxDepth=5)) > fits.cost(RandomForestClassifier(numTrees=100, maxDepth=15)) > fits.cost(LinearRegression())
